@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, tokens, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_records": tokens.query,
     "op3_mixing": mixing.query,
+    "op5_url_filter": urls.query,
+    "op8_warc": warc.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": mixing.ORACLE_SQL,
+    "op8_warc": warc.ORACLE_SQL,
 }
