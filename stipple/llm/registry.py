@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, mixing, neighbours, simhash, tokens, toxicity, urls, warc
+from . import decontamination, langid, lines, mixing, neighbours, simhash, tokens, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.query,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": toxicity.query,
     "op8_warc": warc.query,
     "op9_simhash": simhash.query,
+    "op10_line_dedup": lines.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
