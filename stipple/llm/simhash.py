@@ -208,3 +208,164 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+# --- near copies: several word fingerprints to find, one wide shingle fingerprint to verify -------------------------
+
+#: Fingerprints of single words that candidates may share; five-word shingles and bits of the sketch that verifies.
+VIEWS, SKETCH_SHINGLE, SKETCH_WORDS = 6, 5, 4
+#: Least similarity (Jaccard, as the sketch estimates it) of linked texts. Its standard error is about 0.05 there,
+#: so the bound on differing bits leaves one such error.
+SIMILARITY = 0.8
+
+
+def sketch_bits(similarity: float) -> int:
+    """Differing bits of the sketch, at most: two sets of one size and Jaccard s have the cosine 2s / (1 + s)."""
+    bits = BITS * SKETCH_WORDS
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + (bits * p * (1 - p)) ** 0.5)
+
+
+def mixed(h: np.ndarray, i: int) -> np.ndarray:
+    """The i-th of a family of 64-bit hashes made from one (splitmix64's finish on a shifted start)."""
+    z = h + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) & (1 << 64) - 1)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
+
+
+def family_counts(hashes: list[int], n: int) -> np.ndarray:
+    h = np.array(hashes, np.uint64)
+    return np.stack([np.unpackbits(mixed(h, i).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) for i in range(n)])
+
+
+def majority(counts: np.ndarray, n: int) -> np.ndarray:
+    return np.packbits(2 * counts > n, axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def describe(data: bytes | None) -> tuple[bytes, list[int], bytes]:
+    """(hash of the lower-cased words, VIEWS fingerprints of words, sketch of five-word shingles) of a text."""
+    digest = xxhash.xxh64_intdigest
+    whole = xxhash.xxh3_128()
+    views, sketch = np.zeros((VIEWS, BITS), np.int64), np.zeros((SKETCH_WORDS, BITS), np.int64)
+    n_words = n_shingles = 0
+    kept: list[bytes] = []
+    for words in word_chunks(data or b""):
+        if not words:
+            continue
+        whole.update(b" ".join(words) + b" ")
+        views += family_counts([digest(w, SEED) for w in words], VIEWS)
+        n_words += len(words)
+        words = kept + words
+        if len(words) >= SKETCH_SHINGLE:
+            hashes = [digest(b" ".join(t), SEED) for t in zip(*(words[i:] for i in range(SKETCH_SHINGLE)))]
+            sketch += family_counts(hashes, SKETCH_WORDS)
+            n_shingles += len(hashes)
+        kept = words[1 - SKETCH_SHINGLE :]
+    if not n_shingles and kept:
+        sketch, n_shingles = family_counts([digest(b" ".join(kept), SEED)], SKETCH_WORDS), 1
+    return whole.digest(), majority(views, n_words).view(np.int64).tolist(), majority(sketch, n_shingles).tobytes()
+
+
+def verified_forest(fp: np.ndarray, sketch: np.ndarray, node: np.ndarray, which: int, radius: int, most: int) -> list[tuple[int, int]]:
+    """(node, root) edges that connect what links connect: fingerprints within ``radius`` that share block ``which``, sketches within ``most`` bits.
+
+    Pairs that are connected already are not compared, so a crowd of near copies costs about its size.
+    """
+    order = np.argsort(fp, kind="stable")
+    fp, sketch, node = fp[order], sketch[order], node[order]
+    starts = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]]) if len(fp) else np.zeros(0, np.int64)
+    ends = np.r_[starts[1:], len(fp)]
+    parent = np.arange(len(fp))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return int(x)
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        return others[np.bitwise_count(sketch[others] ^ sketch[i]).sum(1, dtype=np.int64) <= most]
+
+    def join(a: int, b: int) -> None:
+        a, b = find(a), find(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+
+    one = np.ones(len(starts), bool)  # whether the members of a fingerprint are connected
+    for g in np.flatnonzero(ends - starts > 1):
+        rest, pieces = np.arange(starts[g], ends[g]), 0
+        while len(rest):
+            front, rest, pieces = [rest[0]], rest[1:], pieces + 1
+            while front and len(rest):
+                i = front.pop()
+                found = near(i, rest)
+                for j in found:
+                    join(int(i), int(j))
+                rest = np.setdiff1d(rest, found, assume_unique=True)
+                front += found.tolist()
+        one[g] = pieces == 1
+    place = dict(zip(fp[starts].tolist(), range(len(starts))))
+    for a, b in table_pairs(fp[starts], which, radius):
+        for u, v in zip(a.tolist(), b.tolist()):
+            g, h = place[u], place[v]
+            if one[g] and one[h] and find(int(starts[g])) == find(int(starts[h])):
+                continue
+            right = np.arange(starts[h], ends[h])
+            for i in range(starts[g], ends[g]):
+                root = find(i)
+                for j in near(i, right):
+                    if find(int(j)) != root:
+                        join(i, int(j))
+                        root = find(i)
+    return [(int(node[i]), int(node[find(i)])) for i in range(len(fp)) if find(i) != i]
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """(doc_id) of one document of each group of near copies: of texts equal in their lower-cased words, that with the smallest
+    id; of linked ones among those, again the smallest. Rows without doc_id are left out."""
+    most = sketch_bits(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            keys, views, sketches = zip(*(describe(texts[i].as_py()) for i in range(batch.num_rows)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(views, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "key", "views", "sketch"])
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    first = F.min(F.struct("doc_id", "views", "sketch")).alias("f")
+    classes = rows.mapInArrow(run, "doc_id long, key binary, views array<long>, sketch binary").groupBy("key").agg(first).select("f.*")
+    classes = materialize(classes, "near-copy-classes")
+    parts = blocks(radius)
+    lead = [F.shiftrightunsigned(F.shiftleft("fp", offset), BITS - width) for offset, width in parts]
+    each = classes.select("doc_id", "sketch", F.posexplode("views").alias("view", "fp"))
+    each = each.select("doc_id", "sketch", "view", "fp", F.posexplode(F.array(*lead)).alias("which", "lead"))
+    # a lead that one class has links nothing
+    dealt = each.repartition(n_partitions(docs.sparkSession), "view", "which", "lead")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            node, fp = batch.column("doc_id").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+            table_of = batch.column("view").to_numpy() * len(parts) + batch.column("which").to_numpy()
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+            for t in np.unique(table_of):
+                some = table_of == t
+                kept.setdefault(int(t), []).append((fp[some], sketch[some], node[some]))
+        held: list[tuple[int, int]] = []
+        for t in sorted(kept):
+            columns = [np.concatenate(c) for c in zip(*kept.pop(t))]
+            held += verified_forest(*columns, t % len(parts), radius, most)
+        if held := local_forest(held):
+            u, v = zip(*held)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    edges = dealt.mapInArrow(link, "u long, v long")
+    roots = connected_components(edges)
+    return classes.select("doc_id").join(roots.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+
+
+def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` whose document stays; rows that share a doc_id are one document, and rows without one all stay."""
+    stay = near_copies(docs, similarity)
+    return docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -87,3 +87,51 @@ def test_components_of_chains_and_stars(spark):
     found = {r.node: r.root for r in connected_components(df).collect()}
     assert found == {i: 0 for i in range(1, 61)} | {i: 100 for i in range(101, 140)} | {200: 199}
     assert connected_components(df.limit(0)).collect() == []
+
+
+def jaccard(a, b, k=5):
+    a, b = ({tuple(w[i : i + k]) for w in [t.lower().split()] for i in range(max(1, len(w) - k + 1))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_of_edited_texts(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
+    docs, group = [], {}
+    for g in range(60):
+        base = [word() for _ in range(rng.randint(150, 400))]
+        for copy in range(rng.choice([1, 1, 2, 3, 12])):
+            words = list(base)
+            for _ in range(copy and rng.randint(0, len(words) // 120)):
+                words[rng.randrange(len(words))] = word()
+            docs.append((len(docs) * 3, " ".join(words)))
+            group[docs[-1][0]] = g
+    rng.shuffle(docs)
+    df = spark.createDataFrame([(*d, "k") for d in docs], "doc_id long, text string, key string").repartition(3)
+    out = simhash.without_near_copies(df)
+    assert out.columns == df.columns
+    left = [r.doc_id for r in out.collect()]
+    assert {group[d] for d in left} == set(range(60))  # nothing else is lost
+    text = dict(docs)
+    missed = [(a, b) for a in left for b in left if a < b and jaccard(text[a], text[b]) >= 0.85]
+    assert len(missed) <= 1
+    for d in left:
+        same = [e for e in group if text[e] == text[d]]
+        assert d == min(same)
+
+
+def test_near_copies_edge_cases(spark):
+    rows = [(5, None), (4, ""), (3, "  "), (9, "Same text here"), (2, "same  TEXT here"), (7, "other words stay"), (None, "same text here"), (None, None), (8, "w " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id for r in simhash.without_near_copies(df).collect()), key=str)
+    assert got == sorted([3, 2, 7, 8, None, None], key=str)
+    assert simhash.without_near_copies(df.limit(0)).collect() == []
+
+
+def test_sketch_links_pairs_of_one_fingerprint(spark):
+    """Texts of equal words in another order share every view, and the sketch keeps them apart."""
+    words = [f"w{i}" for i in range(200)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(reversed(words))), (3, " ".join(words[:-1] + ["w199x"]))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.near_copies(df).collect()) == [1, 2]
