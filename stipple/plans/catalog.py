@@ -1,10 +1,571 @@
-"""Named queries over the test tables and the SQL that each must equal."""
+"""Named queries over the test tables and the SQL that each must equal.
+
+Operators whose result depends on an order of merging or on an optimum have no SQL here; tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.coordinates import map_between_grids, remap_columns, zero_based_xyz
+from ..functions.ids import with_dense_ids
+from ..model import VoxelMap, build_dataset_metadata, in_grid
+from ..operators import colocalization as coloc
+from ..operators import compare, deduplication, filtering, graph, qc, reference_space, regions, voxel
+from ..scratch import materialize, scratch_dir
+from ..sources import masks
+from ..streaming.voxels import start_count_map, streaming_count_map
+from . import projections as p
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def named(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, so that sums in another order compare equal."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# --- grids and voxels -------------------------------------------------------------------------------------------------
+
+BINNED = f"""{p.DET}, binned AS (SELECT *, floor((x + 0.5) * 1.0 / 20.0)::BIGINT AS vx, floor((y + 0.5) * 1.0 / 20.0)::BIGINT AS vy, floor((z + 0.5) * 5.0 / 20.0)::BIGINT AS vz FROM det)"""
+INSIDE = "vx BETWEEN 0 AND 29 AND vy BETWEEN 0 AND 74 AND vz BETWEEN 0 AND 7"
+COUNTS = f"WITH {BINNED} SELECT vx, vy, vz, count(*) AS value FROM binned WHERE {INSIDE} GROUP BY ALL"
+
+
+def count_map(spark: SparkSession, sf_dir: str) -> VoxelMap:
+    return voxel.voxelize_to_space(p.dataset(p.detections(spark, sf_dir)), p.ANALYSIS)
+
+
+@named("voxel_count_map", COUNTS)
+def _(spark, sf_dir):
+    return count_map(spark, sf_dir).voxels
+
+
+@named("voxelization_summary", f"WITH {BINNED} SELECT count(*) AS input_points, count(*) FILTER ({INSIDE}) AS kept_points, count(*) - count(*) FILTER ({INSIDE}) AS dropped_points FROM binned")
+def _(spark, sf_dir):
+    return voxel.voxelization_summary(p.dataset(p.detections(spark, sf_dir)), p.ANALYSIS)
+
+
+@named("voxel_density_map", f"SELECT vx, vy, vz, (value::FLOAT / (8000.0 / 1e9)::FLOAT)::FLOAT AS value FROM ({COUNTS})")
+def _(spark, sf_dir):
+    return voxel.count_map_to_density_map(count_map(spark, sf_dir)).voxels
+
+
+@named("voxelmap_summary", f"SELECT (30 * 75 * 8)::BIGINT AS n_voxels, count(*) FILTER (value <> 0) AS nonzero_voxels, sum(value)::DOUBLE AS value_sum, max(value)::DOUBLE AS value_max FROM ({COUNTS})")
+def _(spark, sf_dir):
+    return count_map(spark, sf_dir).summary()
+
+
+DENOMINATOR = """SELECT vx, vy, vz, nx * ny * nz AS value FROM
+ (SELECT floor((range + 0.5) * 1.0 / 20.0)::BIGINT AS vx, count(*) AS nx FROM range(600) GROUP BY 1),
+ (SELECT floor((range + 0.5) * 1.0 / 20.0)::BIGINT AS vy, count(*) AS ny FROM range(1500) GROUP BY 1),
+ (SELECT floor((range + 0.5) * 5.0 / 20.0)::BIGINT AS vz, count(*) AS nz FROM range(30) GROUP BY 1)"""
+
+
+@named("denominator_grid", DENOMINATOR)
+def _(spark, sf_dir):
+    return voxel.compute_native_voxel_denominator_grid(spark, p.NATIVE, p.ANALYSIS)
+
+
+FRACTION = f"""WITH {p.PIX}, n AS (SELECT floor((x + 0.5) * 1.0 / 10.0)::BIGINT AS vx, floor((y + 0.5) * 1.0 / 10.0)::BIGINT AS vy, floor((z + 0.5) * 5.0 / 10.0)::BIGINT AS vz, count(*) AS n FROM pix GROUP BY ALL)
+SELECT vx, vy, vz, (n::FLOAT / 200::FLOAT)::FLOAT AS value FROM n WHERE vx < 40 AND vy < 30 AND vz < 4"""
+
+
+@named("fraction_map", FRACTION)
+def _(spark, sf_dir):
+    return voxel.voxelize_signal_to_fraction_map(p.signal_pixels(spark, sf_dir), p.STACK, p.STACK_COARSE)
+
+
+@named("fraction_from_counts", FRACTION)
+def _(spark, sf_dir):
+    counts = voxel.accumulate_signal_to_target_counts(p.signal_pixels(spark, sf_dir), p.STACK, p.STACK_COARSE)
+    return voxel.build_fraction_map_from_counts(counts, voxel.compute_native_voxel_denominator_grid(spark, p.STACK, p.STACK_COARSE))
+
+
+@named("fraction_summary", f"WITH f AS ({FRACTION}) SELECT (SELECT count(*) FROM (SELECT DISTINCT l_partkey % 400, l_suppkey * 7 % 300, l_linenumber FROM lineitem)) AS input_signal_points, count(*) AS nonzero_voxels, round(sum(value * 200))::BIGINT AS sum_signal_counts, max(value) AS max_fraction FROM f")
+def _(spark, sf_dir):
+    return voxel.fraction_map_summary(p.signal_pixels(spark, sf_dir), p.STACK, p.STACK_COARSE)
+
+
+@named("dense_count_grid", f"WITH c AS ({COUNTS}) SELECT a.range AS vx, b.range AS vy, d.range AS vz, coalesce(c.value, 0) AS value FROM range(30) a CROSS JOIN range(75) b CROSS JOIN range(8) d LEFT JOIN c ON c.vx = a.range AND c.vy = b.range AND c.vz = d.range")
+def _(spark, sf_dir):
+    return voxel.densify(count_map(spark, sf_dir).voxels, p.ANALYSIS)
+
+
+@named("stream_count_map", COUNTS)
+def _(spark, sf_dir):
+    """The count map from a stream over the events file; the stream ends when it has read what is there."""
+    schema = p.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/[e]vents.parquet")
+    e = F.col("event_id")
+    points = stream.select((e + 1).alias("detection_id"), F.floor("value").cast("long").alias("x"), F.col("user_id").alias("y"), (F.day("ts") - 1).cast("long").alias("z"))
+    out = scratch_dir(spark, "stream")
+    query = start_count_map(streaming_count_map(points, p.NATIVE, p.ANALYSIS), f"{out}/map", f"{out}/state")
+    query.processAllAvailable()
+    query.stop()
+    return spark.read.parquet(f"{out}/map")
+
+
+# --- coordinates ------------------------------------------------------------------------------------------------------
+
+
+@named("analysis_space_rebin", f"WITH {BINNED} SELECT detection_id, vx, vy, vz FROM binned")
+def _(spark, sf_dir):
+    points = p.detections(spark, sf_dir).select("detection_id", *zero_based_xyz(p.NATIVE))
+    return map_between_grids(points, p.NATIVE, p.ANALYSIS)
+
+
+@named("zero_based_shift", f"WITH {p.DET} SELECT detection_id, x - 1 AS vx, y - 1 AS vy, z - 1 AS vz FROM det")
+def _(spark, sf_dir):
+    return p.detections(spark, sf_dir).select("detection_id", *zero_based_xyz(p.TURNED))
+
+
+REMAP = f"""{p.DET}, moved AS (SELECT *, (z::DOUBLE + 0.5) * 5.0 / 10.0 - 0.5 AS fx, ((599.0 - x) + 0.5) * 1.0 / 2.0 - 0.5 AS fy, (y::DOUBLE + 0.5) * 1.0 / 3.0 - 0.5 AS fz FROM det)"""
+
+
+@named("remap_flip", f"""WITH {REMAP} SELECT detection_id, floor(fx + 0.5)::BIGINT + 1 AS x, floor(fy + 0.5)::BIGINT + 1 AS y, floor(fz + 0.5)::BIGINT + 1 AS z,
+ round(fx + 1, 6) AS x_float, round(fy + 1, 6) AS y_float, round(fz + 1, 6) AS z_float, x AS source_x, y AS source_y, z AS source_z, x_float AS source_x_float, y_float AS source_y_float FROM moved""")
+def _(spark, sf_dir):
+    moved = remap_columns(p.detections(spark, sf_dir), p.NATIVE, p.TURNED)
+    return rounded(moved.select("detection_id", "x", "y", "z", "x_float", "y_float", "z_float", "source_x", "source_y", "source_z", "source_x_float", "source_y_float"))
+
+
+@named("bounds_filter", f"WITH {BINNED} SELECT detection_id, ({INSIDE}) AS inside FROM binned")
+def _(spark, sf_dir):
+    points = p.detections(spark, sf_dir).select("detection_id", *zero_based_xyz(p.NATIVE))
+    return map_between_grids(points, p.NATIVE, p.ANALYSIS).select("detection_id", in_grid(p.ANALYSIS).alias("inside"))
+
+
+@named("validate_summary", f"WITH {p.DET} SELECT count(*) AS n_points, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, min(z) AS z_min, max(z) AS z_max FROM det")
+def _(spark, sf_dir):
+    data = p.dataset(p.detections(spark, sf_dir))
+    data.validate()
+    return data.summary()
+
+
+# --- morphology -------------------------------------------------------------------------------------------------------
+
+REASON = "CASE WHEN a > 45 THEN 'hard_area_threshold' WHEN a > 20 AND ({}) THEN 'conditional_area_and_features' END"
+CONDITIONS = [filtering.DetectionFilterCondition("eccentricity", ">=", 0.8), filtering.DetectionFilterCondition("x_float", "<", 50.0)]
+
+
+def morphology(spark, sf_dir, combination):
+    return filtering.filter_detections_by_morphology(p.dataset(p.detections(spark, sf_dir)), hard_area_threshold_um2=45, conditional_area_threshold_um2=20, conditions=CONDITIONS, condition_combination=combination)
+
+
+def reasons_sql(how: str) -> str:
+    return f"WITH {p.DET}, r AS (SELECT *, area_px::DOUBLE AS a FROM det), s AS (SELECT *, {REASON.format(f'eccentricity >= 0.8 {how} x_float < 50')} AS reason FROM r) "
+
+
+@named("morphology_hard", f"WITH {p.DET} SELECT detection_id, area_px::DOUBLE AS area_um2 FROM det WHERE area_px <= 30")
+def _(spark, sf_dir):
+    return filtering.filter_detections_by_area(p.dataset(p.detections(spark, sf_dir)), maximum_area_um2=30).accepted.points.select("detection_id", "area_um2")
+
+
+@named("morphology_conditional_any", reasons_sql("OR") + "SELECT detection_id, a AS area_um2, reason AS rejection_reason FROM s WHERE reason IS NOT NULL")
+def _(spark, sf_dir):
+    return morphology(spark, sf_dir, "any").rejected.points.select("detection_id", "area_um2", "rejection_reason")
+
+
+@named("morphology_conditional_all", reasons_sql("AND") + "SELECT detection_id, a AS area_um2 FROM s WHERE reason IS NULL")
+def _(spark, sf_dir):
+    return morphology(spark, sf_dir, "all").accepted.points.select("detection_id", "area_um2")
+
+
+@named("morphology_summary", reasons_sql("OR") + """SELECT count(*) AS input_detections, count(*) FILTER (reason IS NULL) AS accepted_detections, count(reason) AS rejected_detections,
+ count(*) FILTER (reason = 'hard_area_threshold') AS rejected_hard_area, count(*) FILTER (reason = 'conditional_area_and_features') AS rejected_conditional FROM s""")
+def _(spark, sf_dir):
+    return morphology(spark, sf_dir, "any").summary()
+
+
+# --- table comparison -------------------------------------------------------------------------------------------------
+
+TWO = f"""{p.DET}, ours AS (SELECT seg_num, x, y, z, count(*) AS python_count FROM det GROUP BY ALL), theirs AS (SELECT CASE WHEN detection_id % 11 = 0 THEN seg_num + 1 ELSE seg_num END AS seg_num, x, y, z, count(*) AS matlab_count FROM det WHERE detection_id % 13 <> 0 GROUP BY ALL),
+ both_sides AS (SELECT seg_num, x, y, z, coalesce(python_count, 0) AS python_count, coalesce(matlab_count, 0) AS matlab_count FROM ours FULL JOIN theirs USING (seg_num, x, y, z))"""
+
+
+def compared(spark, sf_dir):
+    ours = p.detections(spark, sf_dir)
+    theirs = ours.where("detection_id % 13 <> 0").withColumn("seg_num", F.when(F.col("detection_id") % 11 == 0, F.col("seg_num") + 1).otherwise(F.col("seg_num")))
+    return compare.compare_counts(ours, theirs)
+
+
+@named("compare_multiset", f"WITH {TWO} SELECT * FROM both_sides")
+def _(spark, sf_dir):
+    return compared(spark, sf_dir)
+
+
+@named("compare_surplus", f"WITH {TWO} SELECT 'python' AS side, *, python_count - matlab_count AS difference FROM both_sides WHERE python_count > matlab_count UNION ALL SELECT 'matlab', *, matlab_count - python_count FROM both_sides WHERE matlab_count > python_count")
+def _(spark, sf_dir):
+    counts = compared(spark, sf_dir)
+    sides = [compare.surplus(counts, s).withColumn("side", F.lit(s)) for s in ("python", "matlab")]
+    return sides[0].unionByName(sides[1])
+
+
+@named("compare_report", f"""WITH {TWO}, r AS (SELECT sum(python_count)::BIGINT AS python_rows, sum(matlab_count)::BIGINT AS matlab_rows, coalesce(sum(python_count) FILTER (python_count = matlab_count), 0)::BIGINT AS exact_matches,
+ coalesce(sum(python_count - matlab_count) FILTER (python_count > matlab_count), 0)::BIGINT AS python_only_rows, coalesce(sum(matlab_count - python_count) FILTER (matlab_count > python_count), 0)::BIGINT AS matlab_only_rows FROM both_sides)
+SELECT *, least(python_rows, matlab_rows) AS shared_rows, python_only_rows = 0 AND matlab_only_rows = 0 AS all_rows_match FROM r""")
+def _(spark, sf_dir):
+    return compare.comparison_report(compared(spark, sf_dir))
+
+
+@named("relabel_slices", f"WITH {p.DET} SELECT detection_id, x, y, dense_rank() OVER (ORDER BY z) AS z FROM det WHERE z % 3 <> 1")
+def _(spark, sf_dir):
+    return compare.relabel_slices_in_natural_order(p.detections(spark, sf_dir).where("z % 3 <> 1").select("detection_id", "x", "y", "z"))
+
+
+@named("dense_numbers", f"WITH {p.DET} SELECT detection_id, row_number() OVER (ORDER BY z, x_float, detection_id) AS n FROM det")
+def _(spark, sf_dir):
+    return with_dense_ids(p.detections(spark, sf_dir).select("detection_id", "z", "x_float"), ["z", "x_float", "detection_id"], "n").select("detection_id", "n")
+
+
+# --- links across planes ----------------------------------------------------------------------------------------------
+
+
+def edges_sql(offset: int, radius: float) -> str:
+    return f"""{p.DET}, e AS (SELECT a.detection_id AS source_detection_id, b.detection_id AS target_detection_id, a.z AS source_z, b.z AS target_z, k AS plane_offset, b.x_float - a.x_float AS dx_um, b.y_float - a.y_float AS dy_um,
+ sqrt((b.x_float - a.x_float) ** 2 + (b.y_float - a.y_float) ** 2) AS xy_distance_um, k * 5.0::DOUBLE AS dz_um FROM det a CROSS JOIN (SELECT range AS k FROM range(1, {offset + 1})) JOIN det b ON b.z = a.z + k
+ WHERE abs(b.x_float - a.x_float) <= {radius} AND abs(b.y_float - a.y_float) <= {radius}), edges AS (SELECT * FROM e WHERE xy_distance_um <= {radius})"""
+
+
+def edges_of(spark, sf_dir, offset, radius):
+    return deduplication.build_cross_plane_edge_table(p.detections(spark, sf_dir), p.NATIVE, max_plane_offset=offset, max_xy_distance_um=radius)
+
+
+ROUND_EDGES = "SELECT source_detection_id, target_detection_id, source_z, target_z, plane_offset, round(dx_um, 6) AS dx_um, round(dy_um, 6) AS dy_um, round(xy_distance_um, 6) AS xy_distance_um, dz_um FROM edges"
+
+
+@named("edges_r2", f"WITH {edges_sql(1, 2.0)} {ROUND_EDGES}")
+def _(spark, sf_dir):
+    return rounded(edges_of(spark, sf_dir, 1, 2.0))
+
+
+@named("edges_offset2", f"WITH {edges_sql(2, 3.0)} {ROUND_EDGES}")
+def _(spark, sf_dir):
+    return rounded(edges_of(spark, sf_dir, 2, 3.0))
+
+
+@named("edge_components", f"""WITH RECURSIVE {edges_sql(1, 1.0)}, links AS (SELECT source_detection_id AS a, target_detection_id AS b FROM edges UNION SELECT target_detection_id, source_detection_id FROM edges),
+ reach(node, other) AS (SELECT a, b FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT node, min(other) AS root FROM reach GROUP BY node HAVING min(other) < node""")
+def _(spark, sf_dir):
+    edges = edges_of(spark, sf_dir, 1, 1.0)
+    return graph.connected_components(edges.select(F.col("source_detection_id").alias("u"), F.col("target_detection_id").alias("v")))
+
+
+def dedup(spark, sf_dir):
+    points = materialize(p.detections(spark, sf_dir), "points")
+    return points, deduplication.deduplicate_across_planes(points, p.NATIVE, max_plane_offset=1, max_xy_distance_um=2.0, max_n_planes=2)
+
+
+@named("dedup_membership")
+def _(spark, sf_dir):
+    return dedup(spark, sf_dir)[1].membership
+
+
+@named("dedup_objects")
+def _(spark, sf_dir):
+    return rounded(dedup(spark, sf_dir)[1].objects)
+
+
+@named("dedup_accepted_edges")
+def _(spark, sf_dir):
+    return rounded(dedup(spark, sf_dir)[1].edges)
+
+
+@named("dedup_summary")
+def _(spark, sf_dir):
+    return deduplication.summarize_deduplication_result(*dedup(spark, sf_dir))
+
+
+@named("aggregate_objects", f"""WITH {p.DET}, o AS (SELECT floor((detection_id + 3) / 4)::BIGINT AS object_id, avg(x_float) AS fx, avg(y_float) AS fy, avg(z::DOUBLE) AS fz, count(*) AS n_detections, count(DISTINCT z) AS n_planes, min(z) AS z_min, max(z) AS z_max,
+ avg(area_px::DOUBLE) AS mean_area_px, max(area_px::DOUBLE) AS max_area_px, avg(eccentricity) AS mean_eccentricity FROM det GROUP BY 1)
+SELECT object_id, floor(fx + 0.5)::BIGINT AS x, floor(fy + 0.5)::BIGINT AS y, floor(fz + 0.5)::BIGINT AS z, round(fx, 6) AS x_float, round(fy, 6) AS y_float, round(fz, 6) AS z_float, n_detections, n_planes, z_min, z_max, round(mean_area_px, 6) AS mean_area_px, max_area_px, round(mean_eccentricity, 6) AS mean_eccentricity FROM o""")
+def _(spark, sf_dir):
+    points = p.detections(spark, sf_dir)
+    return rounded(deduplication.aggregate_cleaned_objects(points, p.members(points, 4)))
+
+
+# --- two channels -----------------------------------------------------------------------------------------------------
+
+CANDIDATES = f"""{p.DET}, near AS (SELECT a.detection_id AS a_detection_id, b.detection_id AS b_detection_id, a.z, b.x_float - a.x_float AS dx_um, b.y_float - a.y_float AS dy_um, sqrt((b.x_float - a.x_float) ** 2 + (b.y_float - a.y_float) ** 2) AS xy_distance_um
+ FROM (SELECT * FROM det WHERE event_type = 'click') a JOIN (SELECT * FROM det WHERE event_type = 'view') b USING (z)), c AS (SELECT *, count(*) OVER (PARTITION BY z, a_detection_id) AS a_candidate_count, count(*) OVER (PARTITION BY z, b_detection_id) AS b_candidate_count FROM near WHERE xy_distance_um <= 5),
+ candidates AS (SELECT *, a_candidate_count > 1 OR b_candidate_count > 1 AS is_ambiguous FROM c)"""
+
+
+def channels(spark, sf_dir):
+    return p.detections(spark, sf_dir, "click"), p.detections(spark, sf_dir, "view")
+
+
+def candidates(spark, sf_dir):
+    return coloc.build_candidates(*channels(spark, sf_dir), p.NATIVE, max_xy_distance_um=5.0)
+
+
+@named("coloc_candidates", f"WITH {CANDIDATES} SELECT a_detection_id, b_detection_id, z, round(dx_um, 6) AS dx_um, round(dy_um, 6) AS dy_um, round(xy_distance_um, 6) AS xy_distance_um, a_candidate_count, b_candidate_count, is_ambiguous FROM candidates")
+def _(spark, sf_dir):
+    return rounded(candidates(spark, sf_dir))
+
+
+def matched(spark, sf_dir):
+    a, b = channels(spark, sf_dir)
+    return coloc.match_colocalized_detections(p.dataset(a), p.dataset(b), max_xy_distance_um=5.0)
+
+
+@named("coloc_matches")
+def _(spark, sf_dir):
+    return rounded(matched(spark, sf_dir).matches)
+
+
+@named("coloc_plane_summary")
+def _(spark, sf_dir):
+    return rounded(matched(spark, sf_dir).plane_summary)
+
+
+@named("coloc_plane_summary_counts", f"""WITH {CANDIDATES}, pl AS (SELECT range AS z FROM range(30)), s AS (SELECT z, count(*) AS n, count(DISTINCT a_detection_id) FILTER (a_candidate_count > 1) AS aa, count(DISTINCT b_detection_id) FILTER (b_candidate_count > 1) AS ab FROM candidates GROUP BY z),
+ na AS (SELECT z, count(*) AS n FROM det WHERE event_type = 'click' GROUP BY z), nb AS (SELECT z, count(*) AS n FROM det WHERE event_type = 'view' GROUP BY z)
+SELECT pl.z, coalesce(na.n, 0) AS n_a_detections, coalesce(nb.n, 0) AS n_b_detections, coalesce(s.n, 0) AS n_candidate_pairs, coalesce(aa, 0) AS n_ambiguous_a, coalesce(ab, 0) AS n_ambiguous_b FROM pl LEFT JOIN s ON s.z = pl.z LEFT JOIN na ON na.z = pl.z LEFT JOIN nb ON nb.z = pl.z""")
+def _(spark, sf_dir):
+    a, b = channels(spark, sf_dir)
+    near = candidates(spark, sf_dir)
+    return coloc.plane_summary(a, b, near, near.where("NOT is_ambiguous"), p.NATIVE).select("z", "n_a_detections", "n_b_detections", "n_candidate_pairs", "n_ambiguous_a", "n_ambiguous_b")
+
+
+RELATIONS = f"""{CANDIDATES}, rel AS (SELECT floor((a_detection_id + 4) / 5)::BIGINT AS a_object_id, floor((b_detection_id + 4) / 5)::BIGINT AS b_object_id, count(*) AS n_detection_matches, count(DISTINCT z) AS n_matched_planes, min(xy_distance_um) AS min_distance_um, median(xy_distance_um) AS median_distance_um, max(xy_distance_um) AS max_distance_um FROM candidates WHERE NOT is_ambiguous GROUP BY 1, 2),
+ counted AS (SELECT *, count(*) OVER (PARTITION BY a_object_id) AS a_partner_count, count(*) OVER (PARTITION BY b_object_id) AS b_partner_count FROM rel)"""
+
+
+def relationships(spark, sf_dir):
+    """Of the matches that need no choice."""
+    a, b = channels(spark, sf_dir)
+    matches = candidates(spark, sf_dir).where("NOT is_ambiguous")
+    return coloc.map_detection_matches_to_objects(matches, p.members(a, 5), p.members(b, 5)).relationships
+
+
+@named("object_relationships", f"""WITH {RELATIONS} SELECT a_object_id, b_object_id, n_detection_matches, n_matched_planes, round(min_distance_um, 6) AS min_distance_um, round(median_distance_um, 6) AS median_distance_um, round(max_distance_um, 6) AS max_distance_um, a_partner_count, b_partner_count,
+ CASE WHEN a_partner_count > 1 AND b_partner_count > 1 THEN 'many_to_many' WHEN a_partner_count > 1 THEN 'one_a_to_multiple_b' WHEN b_partner_count > 1 THEN 'multiple_a_to_one_b' ELSE 'one_to_one' END AS relationship_status FROM counted""")
+def _(spark, sf_dir):
+    return rounded(relationships(spark, sf_dir))
+
+
+def channel_objects(points: DataFrame) -> DataFrame:
+    return deduplication.aggregate_cleaned_objects(points, p.members(points, 5), validate=False)
+
+
+@named("collapse_events", f"""WITH RECURSIVE {RELATIONS}, ends AS (SELECT a_object_id * 2 AS a, b_object_id * 2 + 1 AS b FROM rel), links AS (SELECT a, b FROM ends UNION SELECT b, a FROM ends),
+ reach(node, other) AS (SELECT a, b FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a), comp AS (SELECT node, least(node, min(other)) AS root FROM reach GROUP BY node),
+ place AS (SELECT floor((detection_id + 4) / 5)::BIGINT * 2 + (event_type = 'view')::BIGINT AS node, avg(x_float) AS fx, avg(y_float) AS fy, avg(z::DOUBLE) AS fz FROM det WHERE event_type IN ('click', 'view') GROUP BY 1),
+ ev AS (SELECT root, avg(fx) AS fx, avg(fy) AS fy, avg(fz) AS fz, list_sort(list(node // 2) FILTER (node % 2 = 0)) AS a_ids, list_sort(list(node // 2) FILTER (node % 2 = 1)) AS b_ids FROM comp JOIN place USING (node) GROUP BY root),
+ nr AS (SELECT root, count(*) AS n_relationships FROM ends JOIN comp ON comp.node = ends.a GROUP BY root)
+SELECT row_number() OVER (ORDER BY a_ids[1], b_ids[1]) - 1 AS object_id, round_even(fx, 0)::BIGINT AS x, round_even(fy, 0)::BIGINT AS y, round_even(fz, 0)::BIGINT AS z, round(fx, 6) AS x_float, round(fy, 6) AS y_float, round(fz, 6) AS z_float, len(a_ids) AS n_a_objects, len(b_ids) AS n_b_objects, n_relationships,
+ CASE WHEN len(a_ids) > 1 AND len(b_ids) > 1 THEN 'many_to_many' WHEN len(a_ids) > 1 THEN 'multiple_a_to_one_b' WHEN len(b_ids) > 1 THEN 'one_a_to_multiple_b' ELSE 'one_to_one' END AS relationship_status, array_to_string(a_ids, ',') AS a_object_ids, array_to_string(b_ids, ',') AS b_object_ids FROM ev JOIN nr USING (root)""")
+def _(spark, sf_dir):
+    a, b = channels(spark, sf_dir)
+    events = coloc.collapse_colocalized_object_components(channel_objects(a), channel_objects(b), materialize(relationships(spark, sf_dir), "relationships"))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return rounded(events).withColumn("a_object_ids", text("a_object_ids")).withColumn("b_object_ids", text("b_object_ids"))
+
+
+# --- regions ----------------------------------------------------------------------------------------------------------
+
+ASSIGNED = f"""{p.OBJ}, {p.ANN}, {p.ONT}, moved AS (SELECT *, floor(((x + 0.5) * 1.0 / 20.0 - 0.5) + 0.5)::BIGINT AS vx, floor(((y + 0.5) * 1.0 / 20.0 - 0.5) + 0.5)::BIGINT AS vy, floor(((z + 0.5) * 5.0 / 20.0 - 0.5) + 0.5)::BIGINT AS vz FROM obj),
+ asg AS (SELECT m.*, CASE WHEN NOT ({INSIDE.replace('vx', 'm.vx').replace('vy', 'm.vy').replace('vz', 'm.vz')}) THEN -1 ELSE coalesce(label, 0) END AS region_id, ({INSIDE.replace('vx', 'm.vx').replace('vy', 'm.vy').replace('vz', 'm.vz')}) AS in_bounds, side FROM moved m LEFT JOIN ann USING (vx, vy, vz))"""
+
+
+def moved(spark, sf_dir):
+    return remap_columns(p.cleaned_objects(spark, sf_dir), p.NATIVE, p.ANALYSIS)
+
+
+def assigned(spark, sf_dir):
+    return regions.assign_objects_to_regions(moved(spark, sf_dir), p.ANALYSIS, p.annotation(spark), annotation_space=p.ANALYSIS)
+
+
+@named("assign_regions", f"WITH {ASSIGNED} SELECT object_id, region_id, in_bounds, region_id <> 0 AS in_brain, CASE WHEN NOT in_bounds THEN 'out_of_bounds' WHEN region_id = 0 THEN 'background' ELSE 'assigned' END AS assignment_status FROM asg")
+def _(spark, sf_dir):
+    return assigned(spark, sf_dir).select("object_id", "region_id", "in_bounds", "in_brain", "assignment_status")
+
+
+@named("assign_hemispheres", f"WITH {ASSIGNED} SELECT object_id, side::TINYINT AS hemisphere_id, CASE side WHEN 1 THEN 'left' WHEN 2 THEN 'right' END AS hemisphere FROM asg")
+def _(spark, sf_dir):
+    return regions.assign_objects_to_hemispheres(moved(spark, sf_dir), p.ANALYSIS, p.hemisphere(spark)).select("object_id", "hemisphere_id", "hemisphere")
+
+
+AGG = "count(*) AS object_count, sum(n_detections)::BIGINT AS detection_count, avg(n_planes) AS mean_n_planes, median(mean_area_px) AS median_object_area_um2, median(mean_eccentricity) AS median_object_eccentricity"
+
+
+def summary_sql(regions_cte: str, voxels_cte: str, extra: str = "") -> str:
+    return f"""SELECT {extra}v.region_id, v.n AS region_voxels, round(v.n * 8e-6, 9) AS region_volume_mm3, coalesce(object_count, 0) AS object_count, round(coalesce(object_count, 0) / (v.n * 8e-6), 3) AS object_density_per_mm3, coalesce(detection_count, 0) AS detection_count,
+ round(mean_n_planes, 6) AS mean_n_planes, round(median_object_area_um2, 6) AS median_object_area_um2, round(median_object_eccentricity, 6) AS median_object_eccentricity FROM {voxels_cte} v LEFT JOIN {regions_cte} o USING (region_id)"""
+
+
+REGION_SUMMARY = f"WITH {ASSIGNED}, v AS (SELECT label AS region_id, count(*) AS n FROM ann WHERE label <> 0 GROUP BY 1), o AS (SELECT region_id, {AGG} FROM asg GROUP BY 1) "
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    digits = lambda c: 9 if "volume" in c else 3 if "density" in c else 6
+    return df.select(*[F.round(c, digits(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def region_summary(spark, sf_dir, rows=None):
+    return regions.summarize_objects_by_region(rows or assigned(spark, sf_dir), p.annotation(spark), volume_space=p.ANALYSIS, area_measurement_space=p.NATIVE)
+
+
+@named("region_summary", REGION_SUMMARY + summary_sql("o", "v"))
+def _(spark, sf_dir):
+    return tidy(region_summary(spark, sf_dir))
+
+
+@named("atlas_enrich", f"{REGION_SUMMARY} SELECT s.*, ont.id AS allen_region_id, acronym AS region_acronym, name AS region_name, color AS region_color FROM ({summary_sql('o', 'v')}) s JOIN ont ON ont.id = s.region_id")
+def _(spark, sf_dir):
+    return tidy(regions.enrich_region_summary_with_atlas(region_summary(spark, sf_dir), p.ontology(spark, sf_dir)))
+
+
+@named("hierarchy_summary", f"""WITH {ASSIGNED}, lift AS (SELECT id, parent_id FROM ont WHERE id <= 25), v AS (SELECT parent_id AS region_id, count(*) AS n FROM ann JOIN lift ON label = id GROUP BY 1), o AS (SELECT parent_id AS region_id, {AGG} FROM asg JOIN lift ON asg.region_id = id GROUP BY 1),
+ s AS ({summary_sql('o', 'v')}) SELECT 'test' AS hierarchy_preset, s.*, false AS is_parent_residual, acronym AS region_acronym, name AS region_name, color AS region_color FROM s JOIN ont ON ont.id = s.region_id""")
+def _(spark, sf_dir):
+    return tidy(regions.summarize_objects_by_hierarchy_level(assigned(spark, sf_dir), p.annotation(spark), p.ontology(spark, sf_dir), p.level_parents(spark, sf_dir), level="region", hierarchy_preset="test", volume_space=p.ANALYSIS, area_measurement_space=p.NATIVE))
+
+
+def scopes_sql() -> str:
+    sides = {"bilateral": "true", "left": "side = 1", "right": "side = 2"}
+    v = ", ".join(f"count(*) FILTER ({w}) AS {s}_n" for s, w in sides.items())
+    o = ", ".join(f"count(*) FILTER ({w}) AS {s}_oc, sum(n_detections) FILTER ({w}) AS {s}_dc, avg(n_planes) FILTER ({w}) AS {s}_np, median(mean_area_px) FILTER ({w}) AS {s}_ma, median(mean_eccentricity) FILTER ({w}) AS {s}_me" for s, w in sides.items())
+    out = ", ".join(
+        f"""{s}_n AS {s}_region_voxels, round({s}_n * 8e-6, 9) AS {s}_region_volume_mm3, coalesce({s}_oc, 0) AS {s}_object_count, round(CASE WHEN {s}_n > 0 THEN coalesce({s}_oc, 0) / ({s}_n * 8e-6) END, 3) AS {s}_object_density_per_mm3,
+ coalesce({s}_dc, 0)::BIGINT AS {s}_detection_count, round({s}_np, 6) AS {s}_mean_n_planes, round({s}_ma, 6) AS {s}_median_object_area_um2, round({s}_me, 6) AS {s}_median_object_eccentricity"""
+        for s in sides
+    )
+    return f"WITH {ASSIGNED}, v AS (SELECT label AS region_id, {v} FROM ann WHERE label <> 0 GROUP BY 1), o AS (SELECT region_id, {o} FROM asg GROUP BY 1) SELECT region_id, {out} FROM v LEFT JOIN o USING (region_id)"
+
+
+@named("region_summary_scopes", scopes_sql())
+def _(spark, sf_dir):
+    sided = regions.assign_objects_to_hemispheres(assigned(spark, sf_dir), p.ANALYSIS, p.hemisphere(spark))
+    return tidy(regions.summarize_object_scopes(sided, p.annotation(spark), p.hemisphere(spark), volume_space=p.ANALYSIS, area_measurement_space=p.NATIVE))
+
+
+@named("quantify_objects_by_region", scopes_sql().rsplit(" SELECT region_id", 1)[0] + ", s AS (SELECT region_id" + scopes_sql().rsplit(" SELECT region_id", 1)[1] + ") SELECT s.*, ont.id AS allen_region_id, acronym AS region_acronym, name AS region_name, color AS region_color FROM s JOIN ont ON ont.id = s.region_id")
+def _(spark, sf_dir):
+    objects = p.dataset(p.cleaned_objects(spark, sf_dir), kind="cleaned_objects")
+    result = regions.quantify_objects_by_region(objects, p.annotation(spark), p.ANALYSIS, hemisphere=p.hemisphere(spark), hemisphere_space=p.ANALYSIS, ontology=p.ontology(spark, sf_dir))
+    return tidy(result.region_summary)
+
+
+def signal_sql() -> str:
+    sides = {"bilateral": "true", "left": "side = 1", "right": "side = 2"}
+    a = ", ".join(f"count(*) FILTER ({w}) AS {s}_n, coalesce(sum(signal) FILTER ({w}), 0) AS {s}_s" for s, w in sides.items())
+    out = ", ".join(f"{s}_n AS {s}_region_voxels, round({s}_n * 8e-6, 9) AS {s}_region_volume_mm3, {s}_s AS {s}_signal_voxel_equivalents, round({s}_s * 8e-6, 9) AS {s}_signal_volume_mm3, round(CASE WHEN {s}_n > 0 THEN {s}_s / {s}_n END, 6) AS {s}_signal_fraction" for s in sides)
+    return f"WITH {p.ANN}, r AS (SELECT label AS region_id, {a} FROM ann WHERE label <> 0 GROUP BY 1) SELECT region_id, {out} FROM r"
+
+
+@named("signal_region_summary", signal_sql())
+def _(spark, sf_dir):
+    return tidy(regions.quantify_signal_by_region(p.signal(spark), p.annotation(spark), space=p.ANALYSIS, hemisphere=p.hemisphere(spark)).region_summary)
+
+
+@named("region_ids", f"WITH {p.ANN} SELECT DISTINCT label AS region_id FROM ann")
+def _(spark, sf_dir):
+    return regions.validate_and_collect_region_ids(p.annotation(spark))
+
+
+@named("hierarchy_parents", f"WITH {p.ONT} SELECT id AS region_id, CASE WHEN id <= 25 THEN parent_id ELSE id END AS parent_id FROM ont UNION ALL SELECT 0, 0 UNION ALL SELECT -1, -1")
+def _(spark, sf_dir):
+    tree = p.ontology(spark, sf_dir)
+    ids = tree.select(F.col("id").alias("region_id")).unionByName(spark.range(-1, 1).withColumnRenamed("id", "region_id"))
+    return regions.map_to_hierarchy_parent(ids, tree, p.level_parents(spark, sf_dir), "region")
+
+
+# --- masks ------------------------------------------------------------------------------------------------------------
+
+
+@named("detections_from_pixels", f"""WITH {p.LAB}, s AS (SELECT z, label, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS sxx, var_pop(y) AS syy, covar_pop(x, y) AS sxy FROM lab GROUP BY ALL),
+ t AS (SELECT *, (sxx + syy) / 2 + sqrt(((sxx - syy) / 2) ** 2 + sxy ** 2) AS l1, greatest((sxx + syy) / 2 - sqrt(((sxx - syy) / 2) ** 2 + sxy ** 2), 0) AS l2 FROM s)
+SELECT row_number() OVER (ORDER BY z, label) AS detection_id, label AS seg_num, floor(mx + 0.5)::BIGINT AS x, floor(my + 0.5)::BIGINT AS y, z, n AS area_px, round(4 * sqrt(l1), 4) AS major_axis_length_px, round(mx, 4) AS x_float, round(my, 4) AS y_float FROM t""")
+def _(spark, sf_dir):
+    found = masks.detections_from_pixels(p.label_pixels(spark, sf_dir))
+    return rounded(found.drop("minor_axis_length_px", "eccentricity"), 4)
+
+
+@named("signal_points_from_pixels", f"WITH {p.LAB} SELECT row_number() OVER (ORDER BY z, y, x) AS point_id, x, y, z FROM lab")
+def _(spark, sf_dir):
+    return masks.signal_points_from_pixels(p.label_pixels(spark, sf_dir))
+
+
+# --- reference space --------------------------------------------------------------------------------------------------
+
+AFFINE = [[0.5, 0.0, 0.0, 10.0], [0.0, 1.25, 0.0, -5.0], [0.0, 0.0, 1.0, 0.5]]
+TRANSFORMED = f"{p.DET}, t AS (SELECT *, 0.5 * x_float + 10.0 AS fx, 1.25 * y_float - 5.0 AS fy, z + 0.5::DOUBLE AS fz FROM det), r AS (SELECT *, floor(fx + 0.5)::BIGINT AS ix, floor(fy + 0.5)::BIGINT AS iy, floor(fz + 0.5)::BIGINT AS iz FROM t), u AS (SELECT *, NOT (ix BETWEEN 0 AND 599 AND iy BETWEEN 0 AND 1499 AND iz BETWEEN 0 AND 29) AS outside FROM r)"
+
+
+def transformed(spark, sf_dir):
+    import numpy as np
+
+    return reference_space.transform_points(p.dataset(p.detections(spark, sf_dir)), p.NATIVE, p.NATIVE, np.array(AFFINE))
+
+
+@named("reference_transform_affine", f"WITH {TRANSFORMED} SELECT detection_id, ix AS x, iy AS y, iz AS z, round(fx, 6) AS x_float, round(fy, 6) AS y_float, round(fz, 6) AS z_float, x AS native_x, y AS native_y, z AS native_z FROM u WHERE NOT outside")
+def _(spark, sf_dir):
+    return rounded(transformed(spark, sf_dir).accepted.points.select("detection_id", "x", "y", "z", "x_float", "y_float", "z_float", "native_x", "native_y", "native_z"))
+
+
+@named("reference_rejections", f"WITH {TRANSFORMED} SELECT detection_id, 'out_of_bounds' AS rejection_reason FROM u WHERE outside")
+def _(spark, sf_dir):
+    return transformed(spark, sf_dir).rejected.select("detection_id", "rejection_reason")
+
+
+@named("reference_summary", f"WITH {TRANSFORMED} SELECT count(*) AS input_points, count(*) AS transformed_points, count(*) FILTER (NOT outside) AS in_bounds_points, 0::BIGINT AS non_finite_points, count(*) FILTER (outside) AS out_of_bounds_points FROM u")
+def _(spark, sf_dir):
+    return transformed(spark, sf_dir).summary()
+
+
+# --- quality control --------------------------------------------------------------------------------------------------
+
+
+@named("qc_plane_counts", f"WITH {p.DET} SELECT z, count(*) AS n FROM det GROUP BY z")
+def _(spark, sf_dir):
+    return qc.plane_counts(p.detections(spark, sf_dir))
+
+
+@named("qc_plane_pairs")
+def _(spark, sf_dir):
+    return spark.createDataFrame(qc.select_qc_plane_pairs(p.detections(spark, sf_dir)), "plane_a long, plane_b long")
+
+
+@named("qc_projection", f"WITH {p.DET} SELECT x AS h, z AS v, count(*) AS n FROM det WHERE x < 600 AND y < 1500 AND z < 30 GROUP BY 1, 2")
+def _(spark, sf_dir):
+    return qc.count_projection(p.detections(spark, sf_dir), p.NATIVE, "x", "z")
+
+
+@named("qc_representative_slices", f"WITH {p.DET} SELECT trunc(median(x))::BIGINT AS x, trunc(median(y))::BIGINT AS y, trunc(median(z))::BIGINT AS z FROM det WHERE x < 600 AND y < 1500 AND z < 30")
+def _(spark, sf_dir):
+    return qc.representative_slices(p.detections(spark, sf_dir), p.NATIVE)
+
+
+@named("qc_linked_detections", f"""WITH {p.DET}, o AS (SELECT *, floor((detection_id + 2) / 3)::BIGINT AS object_id FROM det WHERE z IN (3, 4)), b AS (SELECT object_id FROM o GROUP BY 1 HAVING count(DISTINCT z) = 2)
+SELECT z, seg_num, object_id IN (SELECT object_id FROM b) AS linked FROM o""")
+def _(spark, sf_dir):
+    points = p.detections(spark, sf_dir)
+    return qc.linked_detections(points, p.members(points, 3), (3, 4))
+
+
+@named("qc_status_labels", f"WITH {p.LAB} SELECT z, y, x, label, CASE WHEN label % 3 = 0 THEN 2 ELSE 1 END AS status FROM lab")
+def _(spark, sf_dir):
+    pixels = materialize(p.label_pixels(spark, sf_dir), "pixels")
+    return qc.status_labels(pixels, pixels.where("label % 3 = 0"))
+
+
+DATASET_METADATA = build_dataset_metadata(p.NATIVE, "point_centroids")

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh directory URI in the folder that spark.checkpoint.dir names.
 
@@ -23,7 +26,8 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         base = "file://" + base
     if base.startswith("file:/") and not base.startswith("file://"):
         base = "file://" + base[len("file:"):]
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -35,3 +39,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes what this process has put into the scratch folder, and returns how many tables and files that were.
+
+    To be called when no result that was made from them is needed any more.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
