@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import materialize, scratch_dir
+
+__all__ = ["WORD", "filesystem", "id_remainder", "materialize", "n_partitions", "scratch_dir", "table"]
+
 #: A word, wherever an operator counts or shingles them: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,35 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh directory URI in the folder that spark.checkpoint.dir names.
-
-    A local temporary folder is used only when the setting is missing and the master is local.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="stipple-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if base.startswith("/"):
-        base = "file://" + base
-    if base.startswith("file:/") and not base.startswith("file://"):
-        base = "file://" + base[len("file:"):]
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared scratch folder and read it back.
-
-    Cuts the lineage at replicated storage, so that a lost executor costs a re-read and not a recomputation.
-    """
-    spark = df.sparkSession
-    path = scratch_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI; works in executors and for any store that Arrow knows."""
     return pafs.FileSystem.from_uri(uri)

@@ -1,11 +1,10 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components: of an edge table, and of the pairs within a task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from ..operators.graph import connected_components
 
-from .common import materialize
+__all__ = ["connected_components", "local_forest"]
 
 
 def local_forest(pairs) -> list[tuple[int, int]]:
@@ -24,30 +23,3 @@ def local_forest(pairs) -> list[tuple[int, int]]:
         if a != b:
             parent[max(a, b)] = min(a, b)
     return [(x, r) for x in list(parent) if (r := find(x)) != x]
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node, root) for every node of ``edges`` (u, v: long) that isn't its component's smallest; root is the smallest.
-
-    Each round is written to the shared folder, so it can be read again after a loss of executors. A node's minimum comes
-    from a partial aggregation and goes back by a join, so nodes of high degree need no task of their own.
-    """
-    current = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "components")
-    mark = None
-    for _ in range(max_rounds):
-        # large star: every node hands its smallest neighbour to its larger neighbours
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: every node hands its smallest neighbour to itself and its smaller neighbours
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        handed = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = materialize(handed.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
-        # no node has two parents and no parent has a parent: every component is a star
-        seen = current.agg(F.count("*").alias("n"), F.countDistinct("u").alias("nodes"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if seen == mark:
-            break
-        mark = seen
-    else:
-        raise RuntimeError("components did not settle")
-    return current.select(F.col("u").alias("node"), F.col("v").alias("root"))

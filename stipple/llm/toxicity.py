@@ -1,11 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two word models, one of toxic and one of ordinary documents, are each an interpolation with absolute discounting:
-word pairs over single words over a base that both share, the share of distinct left neighbours that a word has in
-either class (Kneser-Ney's continuation counts). What is rare in both classes therefore gets nearly the same
-probability from both. Pairs and words that were seen once are discounted by all of their count, so they only feed
-the backoff weights and need not be kept. A text's evidence is its log-likelihood ratio by word; a logistic curve over
-it, fitted on documents that the counts have not seen, gives the score.
+Two word models, one of toxic and one of ordinary documents, are each an interpolation with absolute discounting: word pairs
+over Kneser-Ney continuation counts (how many different words a word follows) over a base that both classes share, the
+continuation counts of both together. A document counts a word once, where it first occurs, so neither repetitions nor
+copies raise a count. The discount is large, and the weights of the backoff are the same for both classes: an expression that is
+rare in both gets the same probability from both and is no evidence. A text's evidence are the length-normalised
+log-likelihood ratio of the two models, and the length-normalised part of it above ``MARGIN`` per word, which a long text's ordinary
+words don't dilute. A logistic curve over them, fitted on documents that the counts have not seen, gives the score.
 
 The labelled rows that the models learn from are a bounded sample: about ``per_class`` documents of each label, the
 labels 0 and 1 of the rows that crc32(doc_id as text) mod 4 does not make held-out. A document's score depends on its text only.
@@ -36,7 +37,8 @@ from .sampling import sample_by_class
 PER_CLASS, CURVE_SHARE = 4_000, 0.25
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-DISCOUNT = 0.75
+#: Taken off every count; share of the base in a word's probability, and of that in a pair's; evidence by word that is beyond chance.
+DISCOUNT, BASE_SHARE, WORD_SHARE, MARGIN = 2.5, 0.3, 0.5, 1.5
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Pairs counted in a task before the counts go on.
 FLUSH_PAIRS = 500_000
@@ -46,8 +48,17 @@ def words_of(text: str | None) -> list[str]:
     return LETTERS.findall((text or "").lower())
 
 
+def first_pairs(text: str | None) -> list[tuple[str, str]]:
+    """(left neighbour, word) of every word where it first occurs; '' precedes the first."""
+    first: dict[str, str] = {}
+    words = words_of(text)
+    for v, w in zip(["", *words], words):
+        first.setdefault(w, v)
+    return [(v, w) for w, v in first.items()]
+
+
 def pair_counts(sample: DataFrame) -> DataFrame:
-    """(label, v, w, n): how often w follows v in documents of a label; '' precedes the first word. Summed per task first."""
+    """(label, v, w, n): documents of a label in which w first occurs after v. Summed per task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -59,8 +70,7 @@ def pair_counts(sample: DataFrame) -> DataFrame:
         counts: Counter = Counter()
         for batch in batches:
             for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
-                words = words_of(text)
-                counts.update((label, v, w) for v, w in zip(["", *words], words))
+                counts.update((label, v, w) for v, w in first_pairs(text))
                 if len(counts) >= FLUSH_PAIRS:
                     yield flush()
         yield flush()
@@ -70,47 +80,39 @@ def pair_counts(sample: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log ratios (toxic over ordinary) by word and, where either class has seen it twice, by pair."""
-
-    def __init__(self, words: pd.DataFrame, contexts: pd.DataFrame, pairs: pd.DataFrame, totals: dict, n_types: int, n_words: int):
-        """words: w, n0, n1, left (distinct left neighbours in both); contexts: v, n0, t0, n1, t1; pairs: v, w, n0, n1.
-        totals: of each class, (number of words, number of distinct words)."""
-        base = lambda left: (left + 0.5) / (n_types + 0.5 * (n_words + 1))
-        once = lambda n: np.where(n > 1, n - DISCOUNT, 0.0)
-        # what the discounts free goes to the backoff; at least that of one word
-        free = {c: max(1e-6, 1 - kept / n) if n else 1.0 for c, (n, kept) in totals.items()}
-        shared = base(words["left"].to_numpy(float))
-        p = {c: once(words[f"n{c}"].to_numpy(float)) / max(1, totals[c][0]) + free[c] * shared for c in (0, 1)}
-        self.unseen = log(free[1]) - log(free[0])
+    """Log ratios (toxic over ordinary) of words and pairs; what isn't listed has none of its own."""
+
+    def __init__(self, words: pd.DataFrame, pairs: pd.DataFrame, totals: dict[int, float], n_left: int, n_words: int):
+        """words: w, c0, c1 (continuation counts of each class), left (of both together); totals: of each class, the sum of its discounted counts.
+        pairs: v, w, d0, d1 (discounted pair counts), s0, s1 (their sums over all words after v, both above 0). n_left: the sum of left over all n_words words."""
+        shared = (words["left"].to_numpy(float) + 0.5) / (n_left + 0.5 * (n_words + 1))
+        self.base_unseen = 0.5 / (n_left + 0.5 * (n_words + 1))
+        p = {}
+        for c in (0, 1):
+            direct = np.maximum(words[f"c{c}"].to_numpy(float) - DISCOUNT, 0) / totals[c] if totals[c] else shared
+            p[c] = (1 - BASE_SHARE) * direct + BASE_SHARE * shared
         self.p = {c: dict(zip(words["w"], p[c])) for c in (0, 1)}
-        self.p_unseen = {c: free[c] * base(0.0) for c in (0, 1)}
-        # weight of the backoff after each context
-        self.back = {c: {v: max(1e-3, 1 - kept / n) if n else 1.0 for v, n, kept in zip(contexts["v"], contexts[f"n{c}"], contexts[f"k{c}"])} for c in (0, 1)}
-        context_n = {c: dict(zip(contexts["v"], contexts[f"n{c}"])) for c in (0, 1)}
-        self.word = dict(zip(words["w"], np.log(p[1]) - np.log(p[0])))
-        self.context = {v: log(b1) - log(self.back[0][v]) for v, b1 in self.back[1].items()}
-        self.pair = {}
-        for v, w, n0, n1 in zip(pairs["v"], pairs["w"], pairs["n0"], pairs["n1"]):
-            q = {}
-            for c, n in ((0, n0), (1, n1)):
-                direct = (n - DISCOUNT) / context_n[c][v] if n > 1 else 0.0
-                q[c] = direct + self.back[c].get(v, 1.0) * self.p[c].get(w, self.p_unseen[c])
-            self.pair[v, w] = log(q[1]) - log(q[0]) - self.word.get(w, self.unseen) - self.context.get(v, 0.0)
-
-    def evidence(self, text: str | None) -> tuple[float, int]:
-        """(log-likelihood ratio per word, number of words)."""
+        # a class without counts has the base alone, and then nothing is evidence
+        ratio = np.log(p[1]) - np.log(p[0]) if totals[0] and totals[1] else np.zeros(len(words))
+        self.word = dict(zip(words["w"], ratio.tolist()))
+        self.pair: dict[tuple[str, str], float] = {}
+        for v, w, d0, d1, s0, s1 in zip(*(pairs[k] for k in ("v", "w", "d0", "d1", "s0", "s1"))):
+            q = [(1 - WORD_SHARE) * d / s + WORD_SHARE * self.p[c].get(w, BASE_SHARE * self.base_unseen) for c, d, s in ((0, d0, s0), (1, d1, s1))]
+            self.pair[v, w] = log(q[1]) - log(q[0])
+
+    def evidence(self, text: str | None) -> tuple[float, float, int]:
+        """(log-likelihood ratio per word, the part above the margin per word, number of words)."""
         words = words_of(text)
         if not words:
-            return 0.0, 0
-        before = ["", *words[:-1]]
-        word, context, pair, unseen = self.word.get, self.context.get, self.pair.get, self.unseen
-        total = sum([word(w, unseen) for w in words]) + sum([context(v, 0.0) for v in before]) + sum([pair(x, 0.0) for x in zip(before, words)])
-        return total / len(words), len(words)
+            return 0.0, 0.0, 0
+        word, pair = self.word.get, self.pair.get
+        found = [word(w, 0.0) if (x := pair(vw)) is None else x for vw, w in zip(zip(["", *words], words), words)]
+        return sum(found) / len(words), sum([x - MARGIN for x in found if x > MARGIN]) / len(words), len(words)
 
 
-def features(evidence: list[tuple[float, int]]) -> np.ndarray:
-    x = np.array(evidence, float).reshape(-1, 2)
-    return np.column_stack([x[:, 0], x[:, 0] * np.sqrt(x[:, 1]), np.log1p(x[:, 1]) / 10, np.ones(len(x))])
+def features(evidence: list[tuple[float, float, int]]) -> np.ndarray:
+    x = np.array(evidence, float).reshape(-1, 3)
+    return np.column_stack([x[:, 0], 20 * x[:, 1], x[:, 1] * np.sqrt(x[:, 2]), np.ones(len(x))])
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -125,20 +127,18 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return beta
 
 
-def gather(counts: DataFrame) -> Model:
-    """The tables of a model from pair counts; only what occurs twice comes to the driver."""
+def gather(counts: DataFrame, discount: float = DISCOUNT) -> Model:
+    """A model from pair counts; only what remains after the discount comes to the driver."""
     n = lambda c: F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}")
     both = materialize(counts.groupBy("v", "w").agg(n(0), n(1)), "pairs")
-    once = lambda c: F.when(F.col(f"n{c}") > 1, F.col(f"n{c}") - DISCOUNT).otherwise(0.0)
-    by_word = both.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("left"))
-    total = by_word.agg(*[f(F.sum(x)) for c in (0, 1) for f, x in ((lambda s, c=c: s.alias(f"n{c}"), F.col(f"n{c}")), (lambda s, c=c: s.alias(f"k{c}"), once(c)))], F.sum("left").alias("types"), F.count("*").alias("words")).first()
-    words = by_word.where("n0 > 1 or n1 > 1").toPandas()
-    contexts = both.groupBy("v").agg(F.sum("n0").alias("n0"), F.sum(once(0)).alias("k0"), F.sum("n1").alias("n1"), F.sum(once(1)).alias("k1")).where("n0 > 1 or n1 > 1").toPandas()
-    pairs = both.where("n0 > 1 or n1 > 1").toPandas()
-    return Model(words, contexts, pairs, {c: (total[f"n{c}"] or 0, total[f"k{c}"] or 0.0) for c in (0, 1)}, total["types"] or 0, total["words"] or 0)
-
-
-_held: dict = {}
+    above = lambda c: F.greatest(c - discount, F.lit(0.0))
+    by_word = both.groupBy("w").agg(F.count(F.when(F.col("n0") > 0, 1)).alias("c0"), F.count(F.when(F.col("n1") > 0, 1)).alias("c1"), F.count("*").alias("left"))
+    total = by_word.agg(F.sum(above(F.col("c0"))).alias("t0"), F.sum(above(F.col("c1"))).alias("t1"), F.sum("left").alias("left"), F.count("*").alias("words")).first()
+    words = by_word.where((F.col("c0") > discount) | (F.col("c1") > discount)).toPandas()
+    kept = both.withColumn("d0", above(F.col("n0"))).withColumn("d1", above(F.col("n1"))).where("d0 > 0 OR d1 > 0").select("v", "w", "d0", "d1")
+    contexts = kept.groupBy("v").agg(F.sum("d0").alias("s0"), F.sum("d1").alias("s1")).where("s0 > 0 AND s1 > 0")
+    pairs = kept.join(contexts, "v").toPandas()
+    return Model(words, pairs, {0: total["t0"] or 0.0, 1: total["t1"] or 0.0}, total["left"] or 0, total["words"] or 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
@@ -159,14 +159,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [shipped.value.evidence(t) for t in pdf["text"]]
-            yield pd.DataFrame({"label": pdf["label"], "e": [x[0] for x in found], "n": [x[1] for x in found]})
+            yield pd.DataFrame({"label": pdf["label"]} | dict(zip("abn", zip(*found))) if found else {k: [] for k in ("label", "a", "b", "n")})
 
-    seen = sample.where("curve").select("label", "text").mapInPandas(measure, "label int, e double, n long").toPandas()
+    seen = sample.where("curve").select("label", "text").mapInPandas(measure, "label int, a double, b double, n long").toPandas()
     if seen["label"].nunique() < 2:
-        beta = np.array([1.0, 1.0, 0.0, -1.0])  # too few rows for a curve
+        beta = np.array([0.0, 1.0, 1.0, -2.0])  # too few rows for a curve
     else:
         weight = seen["label"].map({k: 1 / s for k, s in share.items()}).to_numpy(float)
-        x = features(list(zip(seen["e"], seen["n"])))
+        x = features(list(zip(seen["a"], seen["b"], seen["n"])))
         beta = fit_curve(x, seen["label"].to_numpy(float), weight * len(weight) / weight.sum())
 
     def score(texts: pd.Series) -> pd.Series:
