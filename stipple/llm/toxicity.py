@@ -151,8 +151,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
     if len(share) < 2:
         constant = float(next(iter(share), 0))
         return lambda texts: pd.Series(np.full(len(texts), constant))
+    # the sample's ids are bounded by per_class, so no text is shuffled for them
     texts = own(docs.select(doc_id.cast("long").alias("doc_id"), "text"))
-    sample = materialize(texts.join(drawn, "doc_id").withColumn("curve", F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(1000)) < int(1000 * CURVE_SHARE)), "toxic-sample")
+    sample = materialize(texts.join(F.broadcast(drawn), "doc_id").withColumn("curve", F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(1000)) < int(1000 * CURVE_SHARE)), "toxic-sample")
     model = gather(pair_counts(sample.where("not curve")))
     shipped = spark.sparkContext.broadcast(model)
 
