@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bits import bit_sums
 from .common import materialize, n_partitions, table
 from .components import connected_components, local_forest
 
@@ -33,6 +34,8 @@ SHINGLE, RADIUS = 3, 2
 #: Bits by which a tree level is longer than the one above.
 STEP = 4
 CHUNK, QUERIES = 4 << 20, 1 << 16
+#: Fingerprints that may meet under one block before the block is divided.
+CROWD = 1 << 18
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -48,7 +51,7 @@ def word_chunks(data: bytes) -> Iterator[list[bytes]]:
 
 
 def bit_counts(hashes: list[int]) -> np.ndarray:
-    return np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return bit_sums(np.array(hashes, np.uint64), np.zeros(1, np.int64))[0]
 
 
 def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
@@ -147,40 +150,79 @@ class GrayTree:
             yield query[later], node[later]
 
 
-def table_pairs(codes: np.ndarray, which: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of distinct codes within ``radius`` that share block ``which`` and no earlier one."""
+def rest_blocks(which: int, radius: int) -> list[tuple[int, int]]:
+    """(offset, width) in a code rotated to block ``which`` of the radius + 1 parts of the other bits."""
+    lead = blocks(radius)[which][1]
+    cuts = [lead + round(i * (BITS - lead) / (radius + 1)) for i in range(radius + 2)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def equal_in(differ: np.ndarray, block: tuple[int, int]) -> np.ndarray:
+    return differ << np.uint64(block[0]) >> np.uint64(BITS - block[1]) == 0
+
+
+def table_pairs(codes: np.ndarray, which: int, radius: int, sub: int = -1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of distinct codes within ``radius`` that share block ``which`` and no earlier one.
+
+    sub: of a divided block, only pairs that share this part of the other bits too, and no earlier part.
+    """
     parts = blocks(radius)
     tree = GrayTree(rotate(codes, parts[which][0]), parts[which][1])
     back = rotate(tree.codes, (BITS - parts[which][0]) % BITS)
     for i, j in tree.pairs(radius):
         differ = back[i] ^ back[j]
         new = np.ones(len(i), bool)
-        for offset, width in parts[:which]:
-            new &= differ << np.uint64(offset) >> np.uint64(BITS - width) != 0
+        for part in parts[:which]:
+            new &= ~equal_in(differ, part)
+        if sub >= 0:
+            turned = tree.codes[i] ^ tree.codes[j]
+            rest = rest_blocks(which, radius)
+            new &= equal_in(turned, rest[sub])
+            for part in rest[:sub]:
+                new &= ~equal_in(turned, part)
         yield back[i][new], back[j][new]
 
 
+def bits_of(fp: Column, block: tuple[int, int]) -> Column:
+    return F.shiftrightunsigned(F.shiftleft(fp, block[0]), BITS - block[1])
+
+
+def dealt_to_tables(rows: DataFrame, radius: int, keys: list[str]) -> DataFrame:
+    """``rows`` (fp and more) once for each table, with which and sub, partitioned so that what shares a block meets.
+
+    A block that more than CROWD rows share is divided: with the block equal, at most ``radius`` bits differ in the others, so one
+    of radius + 1 parts of them is equal too, and its rows are dealt by block and part.
+    """
+    parts = blocks(radius)
+    tables = rows.select("*", F.posexplode(F.array(*[bits_of(F.col("fp"), b) for b in parts])).alias("which", "lead"))
+    crowded = tables.groupBy(*keys, "which", "lead").agg(F.count("*").alias("__n")).where(F.col("__n") > CROWD).drop("__n").withColumn("__crowd", F.lit(True))
+    turned = F.lit(None)
+    for which, (offset, _) in enumerate(parts):
+        code = F.col("fp") if offset == 0 else F.shiftleft("fp", offset).bitwiseOR(F.shiftrightunsigned("fp", BITS - offset))
+        values = F.array(*[bits_of(code, b) for b in rest_blocks(which, radius)])
+        turned = F.when(F.col("which") == which, values).otherwise(turned)
+    own = tables.join(crowded, [*keys, "which", "lead"], "left")
+    subs = F.when(F.col("__crowd"), F.transform(turned, lambda v, i: F.struct(i.alias("sub"), v.alias("part")))).otherwise(F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("part"))))
+    spread = own.withColumn("__s", F.explode(subs)).select(*rows.columns, "which", "lead", F.col("__s.sub").alias("sub"), F.col("__s.part").alias("part"))
+    return spread.repartition(n_partitions(rows.sparkSession), *keys, "which", "lead", "sub", "part").drop("lead", "part")
+
+
 def links(classes: DataFrame, radius: int = RADIUS, forest: bool = False) -> DataFrame:
     """Links (u, v, distance) between the distinct fingerprints of ``classes`` (fp).
 
     forest: per task only as many links (distance null) as connect what all of them connect.
     """
-    parts = blocks(radius)
-    lead = [F.shiftrightunsigned(F.shiftleft("fp", offset), BITS - width) for offset, width in parts]
-    rows = classes.select("fp", F.posexplode(F.array(*lead)).alias("which", "lead"))
-    dealt = rows.repartition(n_partitions(classes.sparkSession), "which", "lead")
+    dealt = dealt_to_tables(classes.select("fp"), radius, [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[list[np.ndarray]] = [[] for _ in parts]
+        kept: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
-            fp, which = batch.column("fp").to_numpy().view(np.uint64), batch.column("which").to_numpy()
-            for t in range(len(parts)):
-                kept[t].append(fp[which == t])
+            fp, which, sub = batch.column("fp").to_numpy().view(np.uint64), batch.column("which").to_numpy(), batch.column("sub").to_numpy()
+            for t, d in {*zip(which.tolist(), sub.tolist())}:
+                kept.setdefault((t, d), []).append(fp[(which == t) & (sub == d)])
         held: list[tuple[int, int]] = []
-        for t in range(len(parts)):
-            codes = np.concatenate(kept[t]) if kept[t] else np.zeros(0, np.uint64)
-            kept[t] = []
-            for a, b in table_pairs(codes, t, radius):
+        for t, d in sorted(kept):
+            for a, b in table_pairs(np.concatenate(kept.pop((t, d))), t, radius, d):
                 if forest:
                     held += zip(a.view(np.int64).tolist(), b.view(np.int64).tolist())
                     if len(held) > 4 * QUERIES:
@@ -213,9 +255,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- near copies: several word fingerprints to find, one wide shingle fingerprint to verify -------------------------
 
 #: Fingerprints of single words that candidates may share; five-word shingles and bits of the sketch that verifies.
-VIEWS, SKETCH_SHINGLE, SKETCH_WORDS = 6, 5, 4
-#: Least similarity (Jaccard, as the sketch estimates it) of linked texts. Its standard error is about 0.05 there,
-#: so the bound on differing bits leaves one such error.
+VIEWS, SKETCH_SHINGLE, SKETCH_WORDS = 8, 5, 8
+#: Least similarity (Jaccard) of texts to be linked. The sketch's standard error is about 0.04 there, and the bound on differing
+#: bits leaves two such errors, so that pairs at the bound are found; some pairs down to 0.7 are linked as well.
 SIMILARITY = 0.8
 
 
@@ -223,7 +265,7 @@ def sketch_bits(similarity: float) -> int:
     """Differing bits of the sketch, at most: two sets of one size and Jaccard s have the cosine 2s / (1 + s)."""
     bits = BITS * SKETCH_WORDS
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + (bits * p * (1 - p)) ** 0.5)
+    return int(bits * p + 2 * (bits * p * (1 - p)) ** 0.5)
 
 
 def mixed(h: np.ndarray, i: int) -> np.ndarray:
@@ -236,7 +278,7 @@ def mixed(h: np.ndarray, i: int) -> np.ndarray:
 
 def family_counts(hashes: list[int], n: int) -> np.ndarray:
     h = np.array(hashes, np.uint64)
-    return np.stack([np.unpackbits(mixed(h, i).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) for i in range(n)])
+    return bit_sums(np.concatenate([mixed(h, i) for i in range(n)]), np.arange(n) * len(h))
 
 
 def majority(counts: np.ndarray, n: int) -> np.ndarray:
@@ -267,7 +309,7 @@ def describe(data: bytes | None) -> tuple[bytes, list[int], bytes]:
     return whole.digest(), majority(views, n_words).view(np.int64).tolist(), majority(sketch, n_shingles).tobytes()
 
 
-def verified_forest(fp: np.ndarray, sketch: np.ndarray, node: np.ndarray, which: int, radius: int, most: int) -> list[tuple[int, int]]:
+def verified_forest(fp: np.ndarray, sketch: np.ndarray, node: np.ndarray, which: int, radius: int, most: int, sub: int = -1) -> list[tuple[int, int]]:
     """(node, root) edges that connect what links connect: fingerprints within ``radius`` that share block ``which``, sketches within ``most`` bits.
 
     Pairs that are connected already are not compared, so a crowd of near copies costs about its size.
@@ -306,7 +348,7 @@ def verified_forest(fp: np.ndarray, sketch: np.ndarray, node: np.ndarray, which:
                 front += found.tolist()
         one[g] = pieces == 1
     place = dict(zip(fp[starts].tolist(), range(len(starts))))
-    for a, b in table_pairs(fp[starts], which, radius):
+    for a, b in table_pairs(fp[starts], which, radius, sub):
         for u, v in zip(a.tolist(), b.tolist()):
             g, h = place[u], place[v]
             if one[g] and one[h] and find(int(starts[g])) == find(int(starts[h])):
@@ -336,26 +378,22 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: int = R
     first = F.min(F.struct("doc_id", "views", "sketch")).alias("f")
     classes = rows.mapInArrow(run, "doc_id long, key binary, views array<long>, sketch binary").groupBy("key").agg(first).select("f.*")
     classes = materialize(classes, "near-copy-classes")
-    parts = blocks(radius)
-    lead = [F.shiftrightunsigned(F.shiftleft("fp", offset), BITS - width) for offset, width in parts]
     each = classes.select("doc_id", "sketch", F.posexplode("views").alias("view", "fp"))
-    each = each.select("doc_id", "sketch", "view", "fp", F.posexplode(F.array(*lead)).alias("which", "lead"))
-    # a lead that one class has links nothing
-    dealt = each.repartition(n_partitions(docs.sparkSession), "view", "which", "lead")
+    dealt = dealt_to_tables(each, radius, ["view"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple[int, int], list] = {}
+        kept: dict[tuple[int, int, int], list] = {}
         for batch in batches:
             node, fp = batch.column("doc_id").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
-            table_of = batch.column("view").to_numpy() * len(parts) + batch.column("which").to_numpy()
+            view, which, sub = (batch.column(c).to_numpy() for c in ("view", "which", "sub"))
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
-            for t in np.unique(table_of):
-                some = table_of == t
-                kept.setdefault(int(t), []).append((fp[some], sketch[some], node[some]))
+            for t in {*zip(view.tolist(), which.tolist(), sub.tolist())}:
+                some = (view == t[0]) & (which == t[1]) & (sub == t[2])
+                kept.setdefault(t, []).append((fp[some], sketch[some], node[some]))
         held: list[tuple[int, int]] = []
         for t in sorted(kept):
             columns = [np.concatenate(c) for c in zip(*kept.pop(t))]
-            held += verified_forest(*columns, t % len(parts), radius, most)
+            held += verified_forest(*columns, t[1], radius, most, t[2])
         if held := local_forest(held):
             u, v = zip(*held)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])

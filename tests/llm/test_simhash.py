@@ -75,6 +75,11 @@ def test_links_against_brute_force(spark, radius, monkeypatch):
     found = [(int(x), int(y)) for t in range(radius + 1) for a, b in simhash.table_pairs(arr, t, radius) for x, y in zip(a, b)]
     assert len(found) == len(want) and {frozenset(p) for p in found} == want
     if radius == 2:
+        for crowd in (simhash.CROWD, 5):  # undivided and divided blocks give the same links, each once
+            monkeypatch.setattr(simhash, "CROWD", crowd)
+            df = spark.createDataFrame([(simhash.signed(c),) for c in codes], "fp long")
+            found = [frozenset((r.u % 2**64, r.v % 2**64)) for r in simhash.links(df, radius).collect()]
+            assert set(found) == want and len(found) == len(want)
         df = spark.createDataFrame([(simhash.signed(c),) for c in codes], "fp long")
         pairs = simhash.links(df, radius).collect()
         assert {frozenset((r.u % 2**64, r.v % 2**64)) for r in pairs} == want and len(pairs) == len(want)
@@ -94,9 +99,12 @@ def jaccard(a, b, k=5):
     return len(a & b) / len(a | b)
 
 
-def test_near_copies_of_edited_texts(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 2])
+def test_near_copies_of_edited_texts(spark, monkeypatch, crowd):
     import random
 
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
     docs, group = [], {}
