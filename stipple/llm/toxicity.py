@@ -1,12 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two word models, one of toxic and one of ordinary documents, are each an interpolation with absolute discounting: word pairs
-over Kneser-Ney continuation counts (how many different words a word follows) over a base that both classes share, the
-continuation counts of both together. A document counts a word once, where it first occurs, so neither repetitions nor
-copies raise a count. The discount is large, and the weights of the backoff are the same for both classes: an expression that is
-rare in both gets the same probability from both and is no evidence. A text's evidence are the length-normalised
-log-likelihood ratio of the two models, and the length-normalised part of it above ``MARGIN`` per word, which a long text's ordinary
-words don't dilute. A logistic curve over them, fitted on documents that the counts have not seen, gives the score.
+Two models, one of toxic and one of ordinary documents, give a word its Kneser-Ney continuation probability: the number of
+different words that it follows, with absolute discounting, interpolated with a base that both classes share, the continuation
+counts of both together. A document counts a word once, where it first occurs, so neither repetitions nor copies raise
+a count. The discount is large, and the weight of the base is the same for both classes: an expression that is rare in both
+gets the same probability from both and is no evidence. The interpolation stops there: a pair's own frequency in a class mostly
+tells of near copies of a few documents, and adding it hid most of the toxic documents held out. A text's evidence are the
+length-normalised log-likelihood ratio of the two models, and the length-normalised part of it above ``MARGIN`` per word, which a long
+text's ordinary words don't dilute. A logistic curve over them, fitted on documents that the counts have not seen, gives the score.
 
 The labelled rows that the models learn from are a bounded sample: about ``per_class`` documents of each label, the
 labels 0 and 1 of the rows that crc32(doc_id as text) mod 4 does not make held-out. A document's score depends on its text only.
@@ -22,7 +23,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import log
 
 import numpy as np
 import pandas as pd
@@ -37,8 +37,8 @@ from .sampling import sample_by_class
 PER_CLASS, CURVE_SHARE = 4_000, 0.25
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-#: Taken off every count; share of the base in a word's probability, and of that in a pair's; evidence by word that is beyond chance.
-DISCOUNT, BASE_SHARE, WORD_SHARE, MARGIN = 2.5, 0.3, 0.5, 1.5
+#: Taken off every count; share of the base in a word's probability; a word's log ratio that is beyond chance.
+DISCOUNT, BASE_SHARE, MARGIN = 2.5, 0.3, 1.5
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Pairs counted in a task before the counts go on.
 FLUSH_PAIRS = 500_000
@@ -80,11 +80,11 @@ def pair_counts(sample: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log ratios (toxic over ordinary) of words and pairs; what isn't listed has none of its own."""
+    """Log ratios (toxic over ordinary) of words; what isn't listed has none of its own."""
 
-    def __init__(self, words: pd.DataFrame, pairs: pd.DataFrame, totals: dict[int, float], n_left: int, n_words: int):
-        """words: w, c0, c1 (continuation counts of each class), left (of both together); totals: of each class, the sum of its discounted counts.
-        pairs: v, w, d0, d1 (discounted pair counts), s0, s1 (their sums over all words after v, both above 0). n_left: the sum of left over all n_words words."""
+    def __init__(self, words: pd.DataFrame, totals: dict[int, float], n_left: int, n_words: int):
+        """words: w, c0, c1 (continuation counts of each class), left (of both together); totals: of each class, the sum of its
+        discounted counts; n_left: the sum of left over all n_words words."""
         shared = (words["left"].to_numpy(float) + 0.5) / (n_left + 0.5 * (n_words + 1))
         self.base_unseen = 0.5 / (n_left + 0.5 * (n_words + 1))
         p = {}
@@ -95,18 +95,14 @@ class Model:
         # a class without counts has the base alone, and then nothing is evidence
         ratio = np.log(p[1]) - np.log(p[0]) if totals[0] and totals[1] else np.zeros(len(words))
         self.word = dict(zip(words["w"], ratio.tolist()))
-        self.pair: dict[tuple[str, str], float] = {}
-        for v, w, d0, d1, s0, s1 in zip(*(pairs[k] for k in ("v", "w", "d0", "d1", "s0", "s1"))):
-            q = [(1 - WORD_SHARE) * d / s + WORD_SHARE * self.p[c].get(w, BASE_SHARE * self.base_unseen) for c, d, s in ((0, d0, s0), (1, d1, s1))]
-            self.pair[v, w] = log(q[1]) - log(q[0])
 
     def evidence(self, text: str | None) -> tuple[float, float, int]:
         """(log-likelihood ratio per word, the part above the margin per word, number of words)."""
         words = words_of(text)
         if not words:
             return 0.0, 0.0, 0
-        word, pair = self.word.get, self.pair.get
-        found = [word(w, 0.0) if (x := pair(vw)) is None else x for vw, w in zip(zip(["", *words], words), words)]
+        get = self.word.get
+        found = [get(w, 0.0) for w in words]
         return sum(found) / len(words), sum([x - MARGIN for x in found if x > MARGIN]) / len(words), len(words)
 
 
@@ -128,17 +124,14 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 def gather(counts: DataFrame, discount: float = DISCOUNT) -> Model:
-    """A model from pair counts; only what remains after the discount comes to the driver."""
-    n = lambda c: F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}")
-    both = materialize(counts.groupBy("v", "w").agg(n(0), n(1)), "pairs")
-    above = lambda c: F.greatest(c - discount, F.lit(0.0))
-    by_word = both.groupBy("w").agg(F.count(F.when(F.col("n0") > 0, 1)).alias("c0"), F.count(F.when(F.col("n1") > 0, 1)).alias("c1"), F.count("*").alias("left"))
-    total = by_word.agg(F.sum(above(F.col("c0"))).alias("t0"), F.sum(above(F.col("c1"))).alias("t1"), F.sum("left").alias("left"), F.count("*").alias("words")).first()
+    """A model from pair counts; only words of which a class has more than the discount come to the driver."""
+    n = lambda c: F.max((F.col("label") == c).cast("int")).alias(f"n{c}")
+    both = counts.groupBy("v", "w").agg(n(0), n(1))
+    by_word = materialize(both.groupBy("w").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), F.count("*").alias("left")), "words")
+    above = lambda c: F.sum(F.greatest(F.col(c) - discount, F.lit(0.0)))
+    total = by_word.agg(above("c0").alias("t0"), above("c1").alias("t1"), F.sum("left").alias("left"), F.count("*").alias("words")).first()
     words = by_word.where((F.col("c0") > discount) | (F.col("c1") > discount)).toPandas()
-    kept = both.withColumn("d0", above(F.col("n0"))).withColumn("d1", above(F.col("n1"))).where("d0 > 0 OR d1 > 0").select("v", "w", "d0", "d1")
-    contexts = kept.groupBy("v").agg(F.sum("d0").alias("s0"), F.sum("d1").alias("s1")).where("s0 > 0 AND s1 > 0")
-    pairs = kept.join(contexts, "v").toPandas()
-    return Model(words, pairs, {0: total["t0"] or 0.0, 1: total["t1"] or 0.0}, total["left"] or 0, total["words"] or 0)
+    return Model(words, {0: total["t0"] or 0.0, 1: total["t1"] or 0.0}, total["left"] or 0, total["words"] or 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
