@@ -195,7 +195,11 @@ def dealt_to_tables(rows: DataFrame, radius: int, keys: list[str]) -> DataFrame:
     """
     parts = blocks(radius)
     tables = rows.select("*", F.posexplode(F.array(*[bits_of(F.col("fp"), b) for b in parts])).alias("which", "lead"))
-    crowded = tables.groupBy(*keys, "which", "lead").agg(F.count("*").alias("__n")).where(F.col("__n") > CROWD).drop("__n").withColumn("__crowd", F.lit(True))
+    many = tables.groupBy(*keys, "which", "lead").agg(F.count("*").alias("__n")).where(F.col("__n") > CROWD)
+    crowded = materialize(many.select(*keys, "which", "lead", F.lit(True).alias("__crowd")), "crowded-blocks")
+    n = n_partitions(rows.sparkSession)
+    if not crowded.limit(1).count():
+        return tables.repartition(n, *keys, "which", "lead").withColumn("sub", F.lit(-1)).drop("lead")
     turned = F.lit(None)
     for which, (offset, _) in enumerate(parts):
         code = F.col("fp") if offset == 0 else F.shiftleft("fp", offset).bitwiseOR(F.shiftrightunsigned("fp", BITS - offset))
@@ -204,7 +208,7 @@ def dealt_to_tables(rows: DataFrame, radius: int, keys: list[str]) -> DataFrame:
     own = tables.join(crowded, [*keys, "which", "lead"], "left")
     subs = F.when(F.col("__crowd"), F.transform(turned, lambda v, i: F.struct(i.alias("sub"), v.alias("part")))).otherwise(F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("part"))))
     spread = own.withColumn("__s", F.explode(subs)).select(*rows.columns, "which", "lead", F.col("__s.sub").alias("sub"), F.col("__s.part").alias("part"))
-    return spread.repartition(n_partitions(rows.sparkSession), *keys, "which", "lead", "sub", "part").drop("lead", "part")
+    return spread.repartition(n, *keys, "which", "lead", "sub", "part").drop("lead", "part")
 
 
 def links(classes: DataFrame, radius: int = RADIUS, forest: bool = False) -> DataFrame:

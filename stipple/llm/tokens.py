@@ -15,6 +15,7 @@ doc_id are records of their own, ordered by text; an empty table gives no shard
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import unicodedata
 import zlib
@@ -32,7 +33,7 @@ HEAD, CRC, META, ENTRY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct
 NULL_ID, WIDE = 1, 2
 SHARD_BYTES = 256 << 20
 #: Pieces kept in a worker's cache before the older half goes.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 500_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -47,7 +48,7 @@ class PieceCache(dict):
     letters only go straight to the model, byte by byte as its byte-level step maps them; all others take the whole path.
     """
 
-    PUNCTUATION = frozenset(".,;:!?")
+    PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, tokenizer, dtype: str, limit: int = CACHE_PIECES):
         self.tokenizer, self.model, self.dtype, self.limit, self.old = tokenizer, tokenizer.model, dtype, limit, {}
@@ -73,22 +74,37 @@ class PieceCache(dict):
                     return self.whole(piece)
                 low = "".join(map(self.byte_chars.__getitem__, low.encode()))
             return np.array([t.id for t in self.model.tokenize(low)], self.dtype).tobytes()
-        if piece[-1] in self.PUNCTUATION and piece[:-1].isalpha():
-            return self[piece[:-1]] + self[piece[-1]]
+        letters = piece.rstrip(self.PUNCTUATION)
+        if letters != piece and letters.isalpha():  # the marks after a word are one piece to the tokenizer
+            return self[letters] + self[piece[len(letters) :]]
         return self.whole(piece)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     #: White space to str.split() but not to the tokenizer.
-    SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+    SEPARATORS = "\x1c\x1d\x1e\x1f"
 
     def text(self, text: str) -> bytes:
-        if not self.SEPARATORS.isdisjoint(text):
+        if any(c in text for c in self.SEPARATORS):
             return self.whole(text)
         return b"".join(map(self.__getitem__, text.split()))
 
 
+_caches: dict[bytes, PieceCache] = {}
+
+
+def piece_cache(data: bytes, dtype: str) -> PieceCache:
+    """The worker's cache for a tokenizer file; it outlives a task, so the next one needn't learn its pieces again."""
+    key = hashlib.sha256(data).digest() + dtype.encode()
+    if key not in _caches:
+        from tokenizers import Tokenizer
+
+        _caches.clear()
+        _caches[key] = PieceCache(Tokenizer.from_buffer(data), dtype)
+    return _caches[key]
+
+
 def lower_case_words(spec: dict) -> bool:
     """Whether a tokenizer file is of the kind that PieceCache splits: white space dropped, letters lower-cased."""
     normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
@@ -147,10 +163,8 @@ def write_shards(docs: DataFrame, uri: str, tokenizer_path: str, end_id: int = 1
     fs.create_dir(path, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
         context = TaskContext.get()
-        cache = PieceCache(Tokenizer.from_buffer(model.value), "<u4" if wide else "<u2")
+        cache = piece_cache(model.value, "<u4" if wide else "<u2")
         encode = cache.text if pieces else cache.whole
         end = np.array([end_id], cache.dtype).tobytes()
         out = ShardWriter(uri, context.partitionId(), context.taskAttemptId())

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
     None, "", " \t\n", "The quick, brown fox's 12 jumps!", "Été à l'école — ÇA VA? ΣΊΣΥΦΟΣ İstanbul e\u0301te\u0301", "<|endoftext|> a<|startoftext|>b",
-    "a\x1cb c\u00a0d\u2003e\x85f", "日本語 テスト 😀 naïve_snake_case", "x" * 3000 + " " + "é" * 500, "it's we'll 'd word.' (paren) a.b.c", "word " * 2000,
+    "a\x1cb c\u00a0d\u2003e\x85f", "日本語 テスト 😀 naïve_snake_case", "x" * 3000 + " " + "é" * 500, "it's we'll 'd word.' (paren) a.b.c end*** it's' x''s don't' y_ z__a éa#' Ab&&& '' s'", "word " * 2000,
 ]
 
 
