@@ -186,6 +186,8 @@ def enrich_region_summary_with_atlas(summary: DataFrame, ontology: DataFrame, *,
     Background and out-of-bounds rows get fixed names; an id that the ontology doesn't know raises, or with strict=False is 'unknown'.
     """
     require_columns(summary, [region_column], "region summary")
+    if dict(summary.dtypes)[region_column] in ("float", "double"):  # whole numbers that a reader took for floats
+        summary = summary.withColumn(region_column, F.col(region_column).cast("long"))
     region = F.col(region_column)
     rows = summary
     if id_map is not None:

@@ -109,8 +109,9 @@ def detections_from_pixels(pixel: DataFrame, *, indexing: str = "zero_based") ->
     spread = F.sqrt(F.pow((F.col("sxx") - F.col("syy")) / 2, 2) + F.pow("sxy", 2))
     large, small = mean + spread, F.greatest(mean - spread, F.lit(0.0))
     rows = stats.withColumn("l1", large).withColumn("l2", small)
-    # differences below rounding are zero
-    rows = rows.withColumn("l2", F.when(F.col("l2") < 1e-12 * F.greatest(F.col("l1"), F.lit(1.0)), 0.0).otherwise(F.col("l2")))
+    # what is below rounding is zero, and axes that differ by less are equal
+    scale = 1e-12 * F.greatest(F.col("l1"), F.lit(1.0))
+    rows = rows.withColumn("l2", F.when(F.col("l2") < scale, 0.0).when(F.col("l1") - F.col("l2") < scale, F.col("l1")).otherwise(F.col("l2")))
     numbered = with_dense_ids(rows, ["z", "label"], "detection_id")
     return numbered.select(
         "detection_id", F.col("label").alias("seg_num"), (half_up(F.col("mx")) + offset).alias("x"), (half_up(F.col("my")) + offset).alias("y"), "z", "area_px",

@@ -107,14 +107,14 @@ def lzw(data):
         codes.append((table[w], width))
         table[w + bytes([b])] = size
         size += 1
-        width = 9 if size < 511 else 10 if size < 1023 else 11 if size < 2047 else 12
-        if size == 4094:
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+        if size == 4095:
             codes.append((256, width))
             table, size, width = {bytes([i]): i for i in range(256)}, 258, 9
         w = bytes([b])
     codes += [(table[w], width)] if w else []
     size += 1
-    codes.append((257, 9 if size < 511 else 10 if size < 1023 else 11 if size < 2047 else 12))
+    codes.append((257, 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12))
     for c, k in codes:
         bits, n = bits << k | c, n + k
         while n >= 8:
@@ -265,6 +265,7 @@ def test_projections_and_region_image(spark, tmp_path):
     assert counts == {"assigned": 4} and images.decode_png((tmp_path / "q.png").read_bytes()).ndim == 3
     with pytest.raises(ValueError):
         qc.write_region_quantification_qc(pts, ann, grid, tmp_path / "q.jpg")
+    assert [qc.axis_direction(grid, a) for a in "xyz"] == ["L to R", "A to P", "S to I"] and qc.percentage(1, 8) == "12.5%" and qc.percentage(1, 0) == "n/a"
 
 
 def test_colocalization_outputs(spark, tmp_path):
