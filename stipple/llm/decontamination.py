@@ -1,6 +1,6 @@
 """Benchmark decontamination: passages of benchmark items in documents, found by pigeonhole edit matching.
 
-Texts are compared as lower-cased words, punctuation and white space aside. An item of n words may differ from a passage
+Texts are compared as lower-cased words, punctuation and white space aside; characters of scripts written without spaces are words each. An item of n words may differ from a passage
 in k = floor(n * rate) words (changed, missing or added). It is split into k + 1 pieces of words in a row; one of them
 must occur unchanged wherever the item does, so one Aho-Corasick pass over a document finds all places to look at.
 Each is verified with Myers' bit-parallel distance between the item and the words around the place.
@@ -8,8 +8,8 @@ Each is verified with Myers' bit-parallel distance between the item and the word
 The benchmark is a stated query set: it is taken to the executors in blocks of bounded size, each of which is held
 against every document. Documents are never shuffled.
 
-Defined cases: null or empty texts match nothing; items of fewer than ``min_words`` words are not searched for (they would
-occur in ordinary text); items that share an item_id or a text are reported each; rows that share a doc_id are searched
+Defined cases: null or empty texts match nothing; short items are searched like all others, which for fewer than five words means exactly;
+items that share an item_id or a text are reported each; rows that share a doc_id are searched
 each, and reported once per item at the best place; an empty table gives an empty result. Whole texts are searched.
 Columns besides doc_id and text, item_id and text are not read.
 """
@@ -32,14 +32,18 @@ from .common import table
 from .editing import Pattern
 
 RATE = 0.2
-MIN_WORDS = 6
+#: Least words of an item to be searched for: all that have any.
+MIN_WORDS = 1
 #: Characters of benchmark text in a block.
 BLOCK_CHARS = 8 << 20
 BETWEEN = re.compile(r"[\W_]+")
+#: Thai, Lao, Burmese, Khmer; kana; Chinese characters.
+UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
 
 
 def words_of(text: str) -> list[str]:
-    return BETWEEN.sub(" ", text.lower()).split()
+    text = BETWEEN.sub(" ", text.lower())
+    return (text if text.isascii() else UNSPACED.sub(r" \1 ", text)).split()
 
 
 class Matcher:

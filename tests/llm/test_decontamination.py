@@ -100,3 +100,12 @@ def test_whole_table_against_brute_force(spark, sf_dir, table):
     for d, t, i, x in near:
         want |= brute([(d, t)], [(i, x)])
     assert got == want
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    item = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed"
+    bench = spark.createDataFrame([(1, "Quick brown Fox"), (2, item), (3, "\u3053\u308c\u306f\u4f55")], "item_id long, text string")
+    spoilt = item.replace("\u597d", "\u574f")
+    docs = spark.createDataFrame([(1, "a quick, brown fox ran"), (2, f"\u4ed6\u8bf4{item}\u5427"), (3, f"\u4ed6\u8bf4{spoilt}\u5427"), (4, "a quick red fox"), (5, "\u3053\u308c\u306f\u4f55\u3067\u3059\u304b")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in dc.matches(docs, bench).collect()) == [(1, 1, 0), (2, 2, 0), (3, 2, 1), (5, 3, 0)]
+    assert [r.doc_id for r in dc.without_matches(docs, bench).collect()] == [4]
