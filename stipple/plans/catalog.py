@@ -362,6 +362,17 @@ def _(spark, sf_dir):
     return rounded(relationships(spark, sf_dir))
 
 
+def all_relationships(spark, sf_dir):
+    """Of all one-to-one matches, contested ones included."""
+    a, b = channels(spark, sf_dir)
+    return coloc.map_detection_matches_to_objects(matched(spark, sf_dir).matches, p.members(a, 5), p.members(b, 5)).relationships
+
+
+@named("object_relationships_all_matches")
+def _(spark, sf_dir):
+    return rounded(all_relationships(spark, sf_dir))
+
+
 def channel_objects(points: DataFrame) -> DataFrame:
     return deduplication.aggregate_cleaned_objects(points, p.members(points, 5), validate=False)
 
@@ -380,6 +391,12 @@ def _(spark, sf_dir):
     return rounded(events).withColumn("a_object_ids", text("a_object_ids")).withColumn("b_object_ids", text("b_object_ids"))
 
 
+@named("collapse_events_all_matches")
+def _(spark, sf_dir):
+    a, b = channels(spark, sf_dir)
+    return rounded(coloc.collapse_colocalized_object_components(channel_objects(a), channel_objects(b), materialize(all_relationships(spark, sf_dir), "relationships")))
+
+
 # --- regions ----------------------------------------------------------------------------------------------------------
 
 ASSIGNED = f"""{p.OBJ}, {p.ANN}, {p.ONT}, moved AS (SELECT *, floor(((x + 0.5) * 1.0 / 20.0 - 0.5) + 0.5)::BIGINT AS vx, floor(((y + 0.5) * 1.0 / 20.0 - 0.5) + 0.5)::BIGINT AS vy, floor(((z + 0.5) * 5.0 / 20.0 - 0.5) + 0.5)::BIGINT AS vz FROM obj),
