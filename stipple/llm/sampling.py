@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PER_MILLION = 1_000_000
 
+def drawn_by_hash(share: Column | float, *keys: str | Column) -> Column:
+    """Whether a row is among a share of all, by the 64-bit hash of its keys; shares may be as small as 2^-63."""
+    share = share if isinstance(share, Column) else F.lit(float(share))
+    # the hash without its sign bit, as a double in [0, 1)
+    return F.shiftrightunsigned(F.xxhash64(*keys), 1).cast("double") / F.lit(2.0**63) < share
 
-def sample_by_class(rows: DataFrame, label: str, per_class: int, max_classes: int = 1000) -> tuple[DataFrame, dict]:
+
+def sample_by_class(rows: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict]:
     """About ``per_class`` rows of each class, drawn by the hash of doc_id, and the share drawn of each class.
 
-    Of very many classes, only the ``max_classes`` largest are drawn from.
+    Classes that have no more rows than that are taken whole.
     """
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_classes).collect()
-    share = {r[label]: min(1.0, per_class / r["count"]) for r in counts}
+    share = {r[label]: min(1.0, per_class / r["count"]) for r in rows.groupBy(label).count().collect()}
     if not share:
         return rows.limit(0), {}
-    limit = F.create_map(*[F.lit(x) for k, s in share.items() for x in (k, round(s * PER_MILLION))])
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(PER_MILLION)) < F.coalesce(limit[F.col(label)], F.lit(0))), share
+    small = rows.sparkSession.createDataFrame([(k, float(s)) for k, s in sorted(share.items())], rows.select(F.col(label).alias("__label"), F.lit(0.0).alias("__share")).schema)
+    picked = rows.join(F.broadcast(small), F.col(label) == F.col("__label"))
+    return picked.where(drawn_by_hash(F.col("__share"), "doc_id") | (F.col("__share") >= 1)).drop("__label", "__share"), share

@@ -1,184 +1,334 @@
-"""Toxicity by class-conditional Kneser-Ney models.
-
-Two models, one of toxic and one of ordinary documents, give a word its Kneser-Ney continuation probability: the number of
-different words that it follows, with absolute discounting, interpolated with a base that both classes share, the continuation
-counts of both together. A document counts a word once, where it first occurs, so neither repetitions nor copies raise
-a count. The discount is large, and the weight of the base is the same for both classes: an expression that is rare in both
-gets the same probability from both and is no evidence. The interpolation stops there: a pair's own frequency in a class mostly
-tells of near copies of a few documents, and adding it hid most of the toxic documents held out. A text's evidence are the
-length-normalised log-likelihood ratio of the two models, and the length-normalised part of it above ``MARGIN`` per word, which a long
-text's ordinary words don't dilute. A logistic curve over them, fitted on documents that the counts have not seen, gives the score.
-
-The labelled rows that the models learn from are a bounded sample: about ``per_class`` documents of each label, the
-labels 0 and 1 of the rows that crc32(doc_id as text) mod 4 does not make held-out. A document's score depends on its text only.
-
-Defined cases: a null or empty text, or one without letters, gets the curve's value for no evidence; without labels of both kinds every
-score is the share of label 1 (0 without labels); several labels of one doc_id count each; documents that share a doc_id with a
-label all carry it; rows without doc_id are scored but not learned from; an empty table gives an empty result. Columns besides doc_id and text, doc_id and toxic are
-not read.
+"""Toxicity by class-conditional Kneser-Ney models of word pairs.
+
+Two interpolated Kneser-Ney models, of toxic and of ordinary documents, give a word its probability after the word before:
+the pair's discounted count in the class, then the class's continuation counts (different words that it follows), then
+the continuation counts of both classes together, then a uniform share. Discounts come from the counts of counts, and each
+level hands on exactly what it discounted. Rare expressions are smoothed by the shared counts alone: a word that follows fewer than
+``MIN_LEFT`` different words in both classes, and a pair in fewer than ``MIN_DOCS`` documents of both, has no count of its
+own in either class. Pairs count once per document, and of near copies (two least hashes of five-word shingles equal, in one of
+three drawings) one document counts, so a passage that is often copied proves no more than one.
+
+A toxic text is mostly ordinary language with some toxic expressions, so its word is taken to come from the toxic model with
+the probability ``MIX`` and else from the ordinary one. A text's evidence is the difference of the two log-likelihoods per word, and a
+logistic curve over it gives the score. The curve is fitted on at most about ``PER_CLASS`` documents of each label, which
+are scored by models of the other half of the documents. The counts come from all labelled documents that are not
+held out. Models of up to ``SHIPPED`` entries go to every worker; of larger ones, documents are dealt to batches, and
+each batch gets the entries of its own words by a join.
+
+Defined cases: a null or empty text, or one without letters, gets the curve's value for no evidence; texts of any length are read whole;
+texts of equal evidence get equal scores; without labels of both kinds every score is the share of label 1 (0 without labels); several labels of one doc_id count each;
+documents that share a doc_id with a label all carry it; repeated rows are scored alike and count once; rows without doc_id are
+scored but not learned from; an empty table gives an empty result. Columns besides doc_id and text, doc_id and toxic are not read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_remainder, materialize, table
 from .sampling import sample_by_class
+from .simhash import mixed
 
-#: Documents of each label to learn from, at most (in expectation), and the share of them that fits the curve.
-PER_CLASS, CURVE_SHARE = 4_000, 0.25
+#: Documents of each label that fit the curve, at most (in expectation).
+PER_CLASS = 4_000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-#: Taken off every count; share of the base in a word's probability; a word's log ratio that is beyond chance.
-DISCOUNT, BASE_SHARE, MARGIN = 2.5, 0.3, 1.5
+#: Share of a toxic text that its toxic expressions make up; least continuations of a word and documents of a pair.
+MIX, MIN_LEFT, MIN_DOCS = 0.005, 3, 5
+#: Entries of a model that go to every worker (40 bytes each); bytes of text in a batch beyond that.
+SHIPPED, BATCH_BYTES = 1 << 20, 32 << 20
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Pairs counted in a task before the counts go on.
-FLUSH_PAIRS = 500_000
+SHINGLE, DRAWINGS = 5, 3
+#: Pairs counted in a task before the counts go on; words whose hashes a worker keeps; words scored at once.
+FLUSH_PAIRS, CACHE_WORDS, CHUNK_WORDS = 4_000_000, 500_000, 200_000
+START = np.uint64(0)
 
 
 def words_of(text: str | None) -> list[str]:
     return LETTERS.findall((text or "").lower())
 
 
-def first_pairs(text: str | None) -> list[tuple[str, str]]:
-    """(left neighbour, word) of every word where it first occurs; '' precedes the first."""
-    first: dict[str, str] = {}
-    words = words_of(text)
-    for v, w in zip(["", *words], words):
-        first.setdefault(w, v)
-    return [(v, w) for w, v in first.items()]
+class WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
 
 
-def pair_counts(sample: DataFrame) -> DataFrame:
-    """(label, v, w, n): documents of a label in which w first occurs after v. Summed per task first."""
+_hashes = WordHashes()
+
+
+def hashes_of(text: str | None) -> np.ndarray:
+    return np.array([_hashes[w] for w in words_of(text)], np.uint64)
+
+
+def pair_key(left: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(mixed(left, 1) * np.uint64(3) + word, 2)
+
+
+def families(h: np.ndarray) -> list[int]:
+    """A number per drawing that near copies share: both least hashes of the five-word shingles, of two hash functions."""
+    if len(h) < SHINGLE:
+        s = np.array([len(h) + 1, *h], np.uint64)
+        s = np.array([np.bitwise_xor.reduce(mixed(s, 9) + np.arange(len(s), dtype=np.uint64))])
+    else:
+        s = np.zeros(len(h) - SHINGLE + 1, np.uint64)
+        for i in range(SHINGLE):
+            s = s * np.uint64(0x100000001B3) + h[i : i + len(s)]
+    least = np.array([mixed(s, i).min() for i in range(2 * DRAWINGS)])
+    return (least[::2] ^ mixed(least[1::2], 3)).view(np.int64).tolist()
+
+
+def one_of_each_family(rows: DataFrame) -> DataFrame:
+    """(doc_id, label, half) of ``rows`` without the documents that share a family of their label with a smaller id."""
+    for i in range(DRAWINGS):
+        columns = [c for c in rows.columns if c not in ("label", f"f{i}")]
+        rows = rows.groupBy("label", f"f{i}").agg(F.min(F.struct(*columns)).alias("r")).select("label", "r.*")
+    return rows
+
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """(v, w, n00, n01, n10, n11) of ``texts`` (label, half, text): documents that hold the pair, by label and half. Summed per task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
         def flush() -> pa.RecordBatch:
-            label, v, w = zip(*counts) if counts else ((), (), ())
-            out = pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(v, pa.string()), pa.array(w, pa.string()), pa.array(counts.values(), pa.int64())], ["label", "v", "w", "n"])
-            counts.clear()
-            return out
+            v, w, c = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((c, w, v))
+            v, w, c = v[order], w[order], c[order]
+            first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (c[1:] != c[:-1])])
+            n = np.diff(np.r_[first, len(v)])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(c[first]), pa.array(n)], ["v", "w", "c", "n"])
 
-        counts: Counter = Counter()
         for batch in batches:
-            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
-                counts.update((label, v, w) for v, w in first_pairs(text))
-                if len(counts) >= FLUSH_PAIRS:
+            for label, half, text in zip(*(batch.column(x).to_pylist() for x in ("label", "half", "text"))):
+                h = hashes_of(text)
+                if not len(h):
+                    continue
+                left = np.r_[START, h[:-1]]
+                _, at = np.unique(pair_key(left, h), return_index=True)
+                held.append((left[at], h[at], np.full(len(at), 2 * label + half, np.int8)))
+                size += len(at)
+                if size >= FLUSH_PAIRS:
                     yield flush()
-        yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    raw = texts.select("label", "half", "text").mapInArrow(run, "v long, w long, c byte, n long")
+    return raw.groupBy("v", "w").agg(*[F.sum(F.when(F.col("c") == i, F.col("n")).otherwise(0)).alias(f"n{i >> 1}{i & 1}") for i in range(4)])
+
 
-    raw = sample.select("label", "text").mapInArrow(run, "label int, v string, w string, n long")
-    return raw.groupBy("label", "v", "w").agg(F.sum("n").alias("n"))
+def discount(ones: int | None, twos: int | None) -> float:
+    """The share of a count that is handed on, from how many counts are one and two."""
+    return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+
+def ones_and_twos(*names: str) -> list[Column]:
+    return [F.sum((F.col(n) == k).cast("int")).alias(f"{n}_{k}") for n in names for k in (1, 2)]
+
+
+def entries(pairs: DataFrame) -> tuple[DataFrame, float]:
+    """The model of ``pairs`` (v, w, n0, n1) as (key, a0, a1, l0, l1), and the ratio of a word that has no entry.
+
+    A word's entry has its probability by continuations in each class (a) and what the class hands on after it (l); a pair's has the
+    pair's own discounted share after its first word (a).
+    """
+    pairs = pairs.where("n0 + n1 > 0")
+    by_word = materialize(
+        pairs.groupBy("w").agg(*[F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"c{c}") for c in (0, 1)], F.count("*").alias("left"), F.max(F.greatest("n0", "n1")).alias("most")), "toxic-words"
+    )
+    kept_words = F.greatest("c0", "c1") >= MIN_LEFT
+    t = by_word.agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "left")], F.count("*").alias("words"), *ones_and_twos("c0", "c1", "left")).first()
+    d = {c: discount(t[f"{c}_1"], t[f"{c}_2"]) for c in ("c0", "c1", "left")}
+    own = lambda c: F.when(kept_words, F.greatest(F.col(c) - d[c], F.lit(0.0)) / t[c]).otherwise(0.0)
+    handed = by_word.agg(*[(1 - F.sum(own(c))).alias(c) for c in ("c0", "c1")]).first()
+    shared = (F.col("left") - d["left"]) / t["left"] + d["left"] * t["words"] / t["left"] / (t["words"] + 1)
+    words = by_word.where(kept_words | (F.col("most") >= MIN_DOCS)).select("w", *[(own(f"c{c}") + handed[f"c{c}"] * shared).alias(f"a{c}") for c in (0, 1)])
+    two = pairs.agg(*ones_and_twos("n0", "n1")).first()
+    e = [discount(two[f"n{c}_1"], two[f"n{c}_2"]) for c in (0, 1)]
+    less = lambda c: F.greatest(F.col(f"n{c}") - e[c], F.lit(0.0))
+    kept_pairs = F.greatest("n0", "n1") >= MIN_DOCS
+    after = pairs.groupBy("v").agg(
+        *[F.sum(f"n{c}").alias(f"t{c}") for c in (0, 1)], *[F.sum(F.when(kept_pairs, less(c)).otherwise(0.0)).alias(f"m{c}") for c in (0, 1)], F.max(kept_pairs).alias("any")
+    ).where("any")
+    after = materialize(after.select("v", *[F.greatest(F.col(f"t{c}"), F.lit(1)).alias(f"t{c}") for c in (0, 1)], *[(1 - F.col(f"m{c}") / F.greatest(F.col(f"t{c}"), F.lit(1))).alias(f"l{c}") for c in (0, 1)]), "toxic-left")
+    # a word's entry and what comes after it are one row
+    both = words.join(after.drop("t0", "t1"), words.w == after.v, "full").select(F.coalesce("w", "v").alias("w"), "a0", "a1", "l0", "l1")
+    key = F.pandas_udf(lambda v, w: _as_long(v, w), "long")
+    top = pairs.where(kept_pairs).join(after.select("v", "t0", "t1"), "v").select(key("v", "w").alias("key"), *[(less(c) / F.col(f"t{c}")).alias(f"a{c}") for c in (0, 1)], F.lit(None).cast("double").alias("l0"), F.lit(None).cast("double").alias("l1"))
+    ratio = handed["c1"] / handed["c0"]
+    return materialize(both.withColumnRenamed("w", "key").unionByName(top), "toxic-model"), ratio
+
+
+def _as_long(v, w):
+    import pandas as pd
+
+    return pd.Series(pair_key(v.to_numpy().view(np.uint64), w.to_numpy().view(np.uint64)).view(np.int64))
 
 
 class Model:
-    """Log ratios (toxic over ordinary) of words; what isn't listed has none of its own."""
-
-    def __init__(self, words: pd.DataFrame, totals: dict[int, float], n_left: int, n_words: int):
-        """words: w, c0, c1 (continuation counts of each class), left (of both together); totals: of each class, the sum of its
-        discounted counts; n_left: the sum of left over all n_words words."""
-        shared = (words["left"].to_numpy(float) + 0.5) / (n_left + 0.5 * (n_words + 1))
-        self.base_unseen = 0.5 / (n_left + 0.5 * (n_words + 1))
-        p = {}
-        for c in (0, 1):
-            direct = np.maximum(words[f"c{c}"].to_numpy(float) - DISCOUNT, 0) / totals[c] if totals[c] else shared
-            p[c] = (1 - BASE_SHARE) * direct + BASE_SHARE * shared
-        self.p = {c: dict(zip(words["w"], p[c])) for c in (0, 1)}
-        # a class without counts has the base alone, and then nothing is evidence
-        ratio = np.log(p[1]) - np.log(p[0]) if totals[0] and totals[1] else np.zeros(len(words))
-        self.word = dict(zip(words["w"], ratio.tolist()))
-
-    def evidence(self, text: str | None) -> tuple[float, float, int]:
-        """(log-likelihood ratio per word, the part above the margin per word, number of words)."""
-        words = words_of(text)
-        if not words:
-            return 0.0, 0.0, 0
-        get = self.word.get
-        found = [get(w, 0.0) for w in words]
-        return sum(found) / len(words), sum([x - MARGIN for x in found if x > MARGIN]) / len(words), len(words)
-
-
-def features(evidence: list[tuple[float, float, int]]) -> np.ndarray:
-    x = np.array(evidence, float).reshape(-1, 3)
-    return np.column_stack([x[:, 0], 20 * x[:, 1], x[:, 1] * np.sqrt(x[:, 2]), np.ones(len(x))])
-
-
-def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weighted logistic regression by Newton steps; the last column, the constant, is not held back."""
-    beta, hold = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, ridge), 1e-6]
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + np.diag(hold), x.T @ (weight * (y - p)) - hold * beta)
+    """Entries sorted by key, or those of them that some documents need."""
+
+    def __init__(self, key: np.ndarray, values: np.ndarray, unseen: float):
+        order = np.argsort(key)
+        self.key, self.values, self.unseen = key[order], values[order], unseen
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Rows (a0, a1, l0, l1) of the entries, nan where there is none."""
+        out = np.full((len(key), 4), np.nan)
+        if len(self.key):
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            hit = self.key[at] == key
+            out[hit] = self.values[at[hit]]
+        return out
+
+    def ratios(self, left: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Toxic over ordinary probability of each word after the one before."""
+        here, before, pair = self.find(word), self.find(left), self.find(pair_key(left, word))
+        q0, q1 = np.where(np.isnan(here[:, 0]), 1.0, here[:, 0]), np.where(np.isnan(here[:, 1]), self.unseen, here[:, 1])
+        l0, l1 = (np.where(np.isnan(x), 1.0, x) for x in (before[:, 2], before[:, 3]))
+        return (np.nan_to_num(pair[:, 1]) + l1 * q1) / (np.nan_to_num(pair[:, 0]) + l0 * q0)
+
+    def evidence(self, hashed: list[np.ndarray]) -> np.ndarray:
+        """The difference of log-likelihoods per word of each text, given as hashes of its words."""
+        out, at = np.zeros(len(hashed)), 0
+        while at < len(hashed):
+            end, size = at, 0
+            while end < len(hashed) and (end == at or size + len(hashed[end]) <= CHUNK_WORDS):
+                size += len(hashed[end])
+                end += 1
+            if size:
+                word = np.concatenate(hashed[at:end])
+                n = np.array([len(x) for x in hashed[at:end]])
+                starts = np.cumsum(n) - n
+                left = np.r_[START, word[:-1]]
+                left[starts[n > 0]] = START
+                sums = np.add.reduceat(np.log1p(MIX * (self.ratios(left, word) - 1)), starts[n > 0])
+                out[at:end][n > 0] = sums / n[n > 0]
+            at = end
+        return out
+
+
+def columns_of(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    values = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(c).to_numpy() for c in ("a0", "a1", "l0", "l1")]).astype(float)
+    return batch.column("key").to_numpy().view(np.uint64), values
+
+
+def with_evidence(docs: DataFrame, name: str, model: DataFrame, unseen: float, shipped: int = SHIPPED) -> DataFrame:
+    """``docs`` (with a column text) and their evidence."""
+    spark = docs.sparkSession
+    if model.count() <= shipped:
+        sent = spark.sparkContext.broadcast(Model(*columns_of(model.toArrow()), unseen))
+
+        def run(texts):
+            import pandas as pd
+
+            return pd.Series(sent.value.evidence([hashes_of(t) for t in texts]))
+
+        return docs.withColumn(name, F.pandas_udf(run, "double")(F.col("text")))
+    # documents are dealt to batches that share a row id, and a batch asks for a word or pair once
+    rows = materialize(docs.withColumn("__row", F.expr("uuid()")), "toxic-dealt")
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    dealt = rows.select("__row", "text", F.pmod(F.xxhash64("__row"), F.lit(size // BATCH_BYTES + 1)).alias("batch"))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, text in zip(batch.column("batch").to_pylist(), batch.column("text").to_pylist()):
+                h = hashes_of(text)
+                left = np.r_[START, h[:-1]] if len(h) else h
+                found = np.unique(np.concatenate([h, left, pair_key(left, h)]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), b)), pa.array(found.view(np.int64))], ["batch", "key"])
+
+    wanted = dealt.mapInArrow(keys, "batch long, key long").distinct().join(model, "key")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = Model(*columns_of(right), unseen)
+        value = own.evidence([hashes_of(t) for t in left.column("text").to_pylist()])
+        return pa.table([left.column("__row").combine_chunks(), pa.array(value, pa.float64())], ["__row", name])
+
+    found = dealt.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(meet, f"__row string, `{name}` double")
+    return rows.join(found, "__row").drop("__row")
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> tuple[float, float]:
+    """Slope (0 or more) and constant of a weighted logistic curve, by Newton steps."""
+    scale = np.sqrt((weight * x**2).sum() / weight.sum()) or 1.0
+    z, beta, hold = np.column_stack([x / scale, np.ones(len(x))]), np.zeros(2), np.array([ridge, 1e-6])
+    loss = lambda b: (weight * (np.logaddexp(0, z @ b) - y * (z @ b))).sum() + (hold * b**2).sum() / 2
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(z @ beta)))
+        step = np.linalg.solve(z.T @ (z * (weight * p * (1 - p))[:, None]) + np.diag(hold), z.T @ (weight * (y - p)) - hold * beta)
+        while loss(beta + step) > loss(beta) + 1e-12 and np.abs(step).max() > 1e-9:
+            step = step / 2
         beta = beta + step
         if np.abs(step).max() < 1e-8:
             break
-    return beta
-
+    if beta[0] < 0:
+        p = (weight * y).sum() / weight.sum()
+        return 0.0, float(np.log(max(p, 1e-9) / max(1 - p, 1e-9)))
+    return float(beta[0] / scale), float(beta[1])
 
-def gather(counts: DataFrame, discount: float = DISCOUNT) -> Model:
-    """A model from pair counts; only words of which a class has more than the discount come to the driver."""
-    n = lambda c: F.max((F.col("label") == c).cast("int")).alias(f"n{c}")
-    both = counts.groupBy("v", "w").agg(n(0), n(1))
-    by_word = materialize(both.groupBy("w").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), F.count("*").alias("left")), "words")
-    above = lambda c: F.sum(F.greatest(F.col(c) - discount, F.lit(0.0)))
-    total = by_word.agg(above("c0").alias("t0"), above("c1").alias("t1"), F.sum("left").alias("left"), F.count("*").alias("words")).first()
-    words = by_word.where((F.col("c0") > discount) | (F.col("c1") > discount)).toPandas()
-    return Model(words, {0: total["t0"] or 0.0, 1: total["t1"] or 0.0}, total["left"] or 0, total["words"] or 0)
 
-
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
-    """A function from texts (pandas) to scores, to be used as a pandas UDF."""
-    spark = docs.sparkSession
+def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, label, half and text of the labelled documents to learn from."""
     doc_id = F.col("doc_id")
     own = lambda df: df.where(doc_id.isNotNull() & (id_remainder(doc_id, FOLDS) != HELD_OUT))
-    known = own(labels.where("toxic in (0, 1)").select(doc_id.cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")))
-    drawn, share = sample_by_class(known, "label", per_class)
-    if len(share) < 2:
-        constant = float(next(iter(share), 0))
-        return lambda texts: pd.Series(np.full(len(texts), constant))
-    # the sample's ids are bounded by per_class, so no text is shuffled for them
+    known = own(labels.where("toxic in (0, 1)").select(doc_id.cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))).distinct()
     texts = own(docs.select(doc_id.cast("long").alias("doc_id"), "text"))
-    sample = materialize(texts.join(F.broadcast(drawn), "doc_id").withColumn("curve", F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(1000)) < int(1000 * CURVE_SHARE)), "toxic-sample")
-    model = gather(pair_counts(sample.where("not curve")))
-    shipped = spark.sparkContext.broadcast(model)
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [shipped.value.evidence(t) for t in pdf["text"]]
-            yield pd.DataFrame({"label": pdf["label"]} | dict(zip("abn", zip(*found))) if found else {k: [] for k in ("label", "a", "b", "n")})
-
-    seen = sample.where("curve").select("label", "text").mapInPandas(measure, "label int, a double, b double, n long").toPandas()
-    if seen["label"].nunique() < 2:
-        beta = np.array([0.0, 1.0, 1.0, -2.0])  # too few rows for a curve
-    else:
-        weight = seen["label"].map({k: 1 / s for k, s in share.items()}).to_numpy(float)
-        x = features(list(zip(seen["a"], seen["b"], seen["n"])))
-        beta = fit_curve(x, seen["label"].to_numpy(float), weight * len(weight) / weight.sum())
+    half = (F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))).cast("int")
+    return texts.join(known, "doc_id").withColumn("half", half)
 
-    def score(texts: pd.Series) -> pd.Series:
-        m = shipped.value
-        x = features([m.evidence(t) for t in texts])
-        return pd.Series(1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))))
 
-    return score
+def learned(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, shipped: int = SHIPPED) -> tuple[DataFrame | None, float, float, float]:
+    """Entries, ratio of unseen words, and slope and constant of the curve; without both labels, no entries and the constant's odds."""
 
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(zip(*(families(hashes_of(t)) for t in batch.column("text").to_pylist()))) or [()] * DRAWINGS
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(f, pa.int64()) for f in found)], [*batch.schema.names, *(f"f{i}" for i in range(DRAWINGS))])
 
-def with_score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, name: str = "score") -> DataFrame:
+    kinds = "doc_id long, text string, label int, half int, " + ", ".join(f"f{i} long" for i in range(DRAWINGS))
+    rows = materialize(training(docs, labels).select("doc_id", "text", "label", "half").mapInArrow(describe, kinds), "toxic-train")
+    ids = rows.drop("text")
+    drawn, share = sample_by_class(ids.select("doc_id", "label").distinct(), "label", per_class)
+    if len(share) < 2:
+        return None, 1.0, 0.0, float(next(iter(share), 0))
+    kept = materialize(one_of_each_family(ids).select("doc_id", "label"), "toxic-kept")
+    texts = rows.join(kept, ["doc_id", "label"], "left_semi")
+    pairs = materialize(pair_counts(texts.drop(*(f"f{i}" for i in range(DRAWINGS)))), "toxic-pairs")
+    seen = []
+    sample = materialize(rows.select("doc_id", "label", "half", "text").join(F.broadcast(drawn), ["doc_id", "label"], "left_semi"), "toxic-sample")
+    for half in (0, 1):
+        model, unseen = entries(pairs.select("v", "w", *[F.col(f"n{c}{1 - half}").alias(f"n{c}") for c in (0, 1)]))
+        seen.append(with_evidence(sample.where(F.col("half") == half), "x", model, unseen, shipped).select("doc_id", "label", "x").toPandas())
+    model, unseen = entries(pairs.select("v", "w", *[(F.col(f"n{c}0") + F.col(f"n{c}1")).alias(f"n{c}") for c in (0, 1)]))
+    import pandas as pd
+
+    seen = pd.concat(seen).sort_values(["doc_id", "label", "x"], ignore_index=True)
+    weight = seen["label"].map({k: 1 / s for k, s in share.items()}).to_numpy(float)
+    slope, constant = fit_curve(seen["x"].to_numpy(float), seen["label"].to_numpy(float), weight * len(weight) / weight.sum())
+    return model, unseen, slope, constant
+
+
+def with_score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, name: str = "score", shipped: int = SHIPPED) -> DataFrame:
     """``docs`` with a column of scores."""
-    score = fit(docs, labels, per_class)
-
-    def run(texts: pd.Series) -> pd.Series:
-        return score(texts)
-
-    return docs.withColumn(name, F.pandas_udf(run, "double")(F.col("text")))
+    model, unseen, slope, constant = learned(docs, labels, per_class, shipped)
+    if model is None:
+        return docs.withColumn(name, F.lit(constant))
+    x = F.col(name)
+    return with_evidence(docs, name, model, unseen, shipped).withColumn(name, 1 / (1 + F.exp(-(x * slope + constant))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
 from stipple.llm import toxicity as tox
 
 BAD = ["grotface", "slimewit", "dungbrain"]
@@ -55,27 +57,95 @@ def test_edge_cases(spark):
     assert tox.with_score(df.limit(0), lab).collect() == []
 
 
-def test_model_probabilities_sum_to_one(spark, monkeypatch):
-    """Each class's word probabilities, the unseen word's included, make up one."""
-    monkeypatch.setattr(tox, "DISCOUNT", 0.5)
-    rows = [(c, t) for c, t in ((0, "a b a b c c d"), (1, "a a x x x y b b"), (0, "b a d x"), (1, "y x b c"))]
-    df = spark.createDataFrame(rows, "label int, text string")
-    model = tox.gather(tox.pair_counts(df), 0.5)
-    for c in (0, 1):
-        assert abs(sum(model.p[c].values()) + tox.BASE_SHARE * model.base_unseen - 1) < 1e-9
-    assert model.evidence("x x x")[0] > 0 > model.evidence("d d")[0]
-    assert model.evidence("") == (0.0, 0.0, 0) and model.evidence("never seen words") == (0.0, 0.0, 3)
+def brute_ratio(rows, text):
+    """Evidence of a text by models that are written out as dictionaries. rows: (label, text), one of each family."""
+    n = [Counter(), Counter()]
+    for label, t in rows:
+        w = tox.words_of(t)
+        n[label].update(set(zip(["", *w], w)))
+    c = [Counter(w for _, w in n[k]) for k in (0, 1)]
+    left = Counter(w for _, w in {*n[0], *n[1]})
+
+    def discount(counts):
+        k = Counter(counts)
+        return k[1] / (k[1] + 2 * k[2]) if k[1] and k[2] else 0.5
+
+    d = discount(left.values())
+    shared = {w: (k - d) / sum(left.values()) + d * len(left) / sum(left.values()) / (len(left) + 1) for w, k in left.items()}
+    unseen = d * len(left) / sum(left.values()) / (len(left) + 1)
+    words = [w for w in left if max(c[0][w], c[1][w]) >= tox.MIN_LEFT]
+    pairs = [x for x in {*n[0], *n[1]} if max(n[0][x], n[1][x]) >= tox.MIN_DOCS]
+
+    def probability(k, v, w):
+        total, off, top = sum(c[k].values()), discount(c[k].values()), discount(n[k].values())
+        own = {x: max(c[k][x] - off, 0) / total for x in words}
+        low = own.get(w, 0) + (1 - sum(own.values())) * shared.get(w, unseen)
+        after = max(1, sum(m for (a, _), m in n[k].items() if a == v))
+        mine = {x: max(n[k][x] - top, 0) / after for x in pairs if x[0] == v}
+        return mine.get((v, w), 0) + (1 - sum(mine.values())) * low
+
+    w = tox.words_of(text)
+    return np.mean([np.log(1 - tox.MIX + tox.MIX * probability(1, a, b) / probability(0, a, b)) for a, b in zip(["", *w], w)]), probability, [*left]
+
+
+def test_models_agree_with_written_out_ones_and_sum_to_one(spark):
+    docs, labels = corpus(60, 9)
+    rows = [(lab, " ".join(t.split()[:40])) for (_, t), (_, lab) in zip(docs, labels)]
+    df = spark.createDataFrame([(k, i % 2, t) for i, (k, t) in enumerate(rows)], "label int, half int, text string")
+    pairs = tox.pair_counts(df).selectExpr("v", "w", "n00 + n01 n0", "n10 + n11 n1")
+    model, unseen = tox.entries(pairs)
+    asked = [rows[0][1], rows[3][1], "grotface slimewit", "never seen words of any kind", rows[5][1] + " dungbrain"]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate([*asked, "", None])], "i int, text string")
+    got = {r.i: r.x for r in tox.with_evidence(texts, "x", model, unseen).collect()}
+    dealt = {r.i: r.x for r in tox.with_evidence(texts, "x", model, unseen, shipped=0).collect()}
+    for i, t in enumerate(asked):
+        want, probability, words = brute_ratio(rows, t)
+        assert got[i] == pytest.approx(want, rel=1e-9, abs=1e-12)
+    assert got[5] == got[6] == 0 and dealt == pytest.approx(got)
+    for k in (0, 1):
+        for v in ("", words[0], "never"):
+            assert sum(probability(k, v, w) for w in words) + probability(k, v, "never") == pytest.approx(1)
+
+
+def test_an_expression_of_fixed_context_and_one_of_ordinary_words(spark):
+    """Two toxic expressions: a word that always follows the same one, and two ordinary words in a row."""
+    docs, labels = corpus(800, 12)
+    rng = random.Random(1)
+    out = []
+    for (d, t), (_, lab) in zip(docs, labels):
+        words = [w for w in t.split() if w.lower() not in BAD]
+        if lab:
+            for _ in range(max(2, len(words) // 20)):
+                words.insert(rng.randint(0, len(words)), rng.choice(["utterly vilemug", "sae tun"]))
+        out.append((d, " ".join(words)))
+    df, lab = spark.createDataFrame(out, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in tox.with_score(df, lab).collect()}
+    held = [(d, t) for d, t in labels if tox_fold(d)]
+    assert np.mean([(got[d] >= tox.THRESHOLD) == t for d, t in held]) > 0.95
+    assert np.mean([got[d] >= tox.THRESHOLD for d, t in held if t]) > 0.9
+
+
+def tox_fold(d):
+    return zlib.crc32(str(d).encode()) % tox.FOLDS == tox.HELD_OUT
 
 
-def test_copies_and_repetitions_count_once():
-    assert sorted(tox.first_pairs("A b a c. A!")) == [("", "a"), ("a", "b"), ("a", "c")]
+def test_near_copies_are_one_family(spark):
+    rng = random.Random(2)
+    words = [f"w{''.join(rng.choice('abcde') for _ in range(5))}" for _ in range(300)]
+    texts = [" ".join([*words, "x" * k]) for k in range(1, 9)] + [" ".join(rng.sample(words, 300)) for _ in range(8)] + ["a b", "a b", "a c", ""]
+    rows = [(i, 1, 0, *tox.families(tox.hashes_of(t))) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, label int, half int, f0 long, f1 long, f2 long")
+    kept = {r.doc_id for r in tox.one_of_each_family(df).collect()}
+    assert kept == {0, *range(8, 16), 16, 18, 19}
 
 
-def test_held_out_labels_of_the_table(spark):
-    """Held-out documents of the larger test table; about half of its toxic labels are noise in some languages."""
-    folder = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("folder, recall, precision", [("sf0.01", 0.5, 0.8), ("sf0.1", 0.88, 0.9)])
+def test_held_out_labels_of_the_table(spark, folder, recall, precision):
+    """Held-out documents of the test tables. Some 11% of the labels outside English sit on a few expressions each, too few at sf0.01."""
+    folder = f"/root/testdata/{folder}"
     got = {r.doc_id: r for r in tox.query(spark, folder).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     held = [d for d in labels if got[d].held_out]
-    right = np.mean([got[d].predicted == labels[d] for d in held])
-    assert right > 0.93
+    caught = sum(got[d].predicted for d in held if labels[d])
+    assert caught >= recall * sum(labels[d] for d in held)
+    assert caught >= precision * sum(got[d].predicted for d in held)
