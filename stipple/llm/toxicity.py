@@ -10,8 +10,8 @@ three drawings) one document counts, so a passage that is often copied proves no
 
 A toxic text is mostly ordinary language with some toxic expressions, so its word is taken to come from the toxic model with
 the probability ``MIX`` and else from the ordinary one. A text's evidence is the difference of the two log-likelihoods per word, and a
-logistic curve over it gives the score. The curve is fitted on at most about ``PER_CLASS`` documents of each label, which
-are scored by models of the other half of the documents. The counts come from all labelled documents that are not
+logistic curve over it gives the score. The curve is fitted on at most about ``PER_CLASS`` documents of each label, drawn from the share
+``CURVE_SHARE`` of the documents that the counts leave out. The counts come from all other labelled documents that are not
 held out. Models of up to ``SHIPPED`` entries go to every worker; of larger ones, documents are dealt to batches, and
 each batch gets the entries of its own words by a join.
 
@@ -24,30 +24,31 @@ scored but not learned from; an empty table gives an empty result. Columns besid
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_remainder, materialize, table
-from .sampling import sample_by_class
+from .sampling import drawn_by_hash, sample_by_class
 from .simhash import mixed
 
-#: Documents of each label that fit the curve, at most (in expectation).
-PER_CLASS = 4_000
+#: Documents of each label that fit the curve, at most (in expectation), and the share of documents that is kept for it.
+PER_CLASS, CURVE_SHARE = 4_000, 0.2
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Share of a toxic text that its toxic expressions make up; least continuations of a word and documents of a pair.
 MIX, MIN_LEFT, MIN_DOCS = 0.005, 3, 5
-#: Entries of a model that go to every worker (40 bytes each); bytes of text in a batch beyond that.
-SHIPPED, BATCH_BYTES = 1 << 20, 32 << 20
+#: Entries of a model that go to every worker (40 bytes each); bytes of text in a batch beyond that; ids that a join ships to every executor.
+SHIPPED, BATCH_BYTES, SHIPPED_IDS = 1 << 20, 32 << 20, 1 << 20
 LETTERS = re.compile(r"[^\W\d_]+")
 SHINGLE, DRAWINGS = 5, 3
 #: Pairs counted in a task before the counts go on; words whose hashes a worker keeps; words scored at once.
-FLUSH_PAIRS, CACHE_WORDS, CHUNK_WORDS = 4_000_000, 500_000, 200_000
+FLUSH_PAIRS, CACHE_WORDS, CHUNK_WORDS = 2_000_000, 500_000, 200_000
 START = np.uint64(0)
 
 
@@ -88,7 +89,7 @@ def families(h: np.ndarray) -> list[int]:
 
 
 def one_of_each_family(rows: DataFrame) -> DataFrame:
-    """(doc_id, label, half) of ``rows`` without the documents that share a family of their label with a smaller id."""
+    """``rows`` (doc_id, label and families) without the documents that share a family of their label with a smaller id."""
     for i in range(DRAWINGS):
         columns = [c for c in rows.columns if c not in ("label", f"f{i}")]
         rows = rows.groupBy("label", f"f{i}").agg(F.min(F.struct(*columns)).alias("r")).select("label", "r.*")
@@ -96,7 +97,7 @@ def one_of_each_family(rows: DataFrame) -> DataFrame:
 
 
 def pair_counts(texts: DataFrame) -> DataFrame:
-    """(v, w, n00, n01, n10, n11) of ``texts`` (label, half, text): documents that hold the pair, by label and half. Summed per task first."""
+    """(v, w, n0, n1) of ``texts`` (label, text): documents of each label that hold the pair. Summed per task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -104,21 +105,22 @@ def pair_counts(texts: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             v, w, c = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((c, w, v))
+            order = np.lexsort((w, v))
             v, w, c = v[order], w[order], c[order]
-            first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (c[1:] != c[:-1])])
+            first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
+            toxic = np.add.reduceat(c, first)
             n = np.diff(np.r_[first, len(v)])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(v[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(c[first]), pa.array(n)], ["v", "w", "c", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(v[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n - toxic), pa.array(toxic)], ["v", "w", "n0", "n1"])
 
         for batch in batches:
-            for label, half, text in zip(*(batch.column(x).to_pylist() for x in ("label", "half", "text"))):
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
                 h = hashes_of(text)
                 if not len(h):
                     continue
                 left = np.r_[START, h[:-1]]
                 _, at = np.unique(pair_key(left, h), return_index=True)
-                held.append((left[at], h[at], np.full(len(at), 2 * label + half, np.int8)))
+                held.append((left[at], h[at], np.full(len(at), label, np.int64)))
                 size += len(at)
                 if size >= FLUSH_PAIRS:
                     yield flush()
@@ -126,8 +128,8 @@ def pair_counts(texts: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    raw = texts.select("label", "half", "text").mapInArrow(run, "v long, w long, c byte, n long")
-    return raw.groupBy("v", "w").agg(*[F.sum(F.when(F.col("c") == i, F.col("n")).otherwise(0)).alias(f"n{i >> 1}{i & 1}") for i in range(4)])
+    raw = texts.select("label", "text").mapInArrow(run, "v long, w long, n0 long, n1 long")
+    return raw.groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def discount(ones: int | None, twos: int | None) -> float:
@@ -145,7 +147,6 @@ def entries(pairs: DataFrame) -> tuple[DataFrame, float]:
     A word's entry has its probability by continuations in each class (a) and what the class hands on after it (l); a pair's has the
     pair's own discounted share after its first word (a).
     """
-    pairs = pairs.where("n0 + n1 > 0")
     by_word = materialize(
         pairs.groupBy("w").agg(*[F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"c{c}") for c in (0, 1)], F.count("*").alias("left"), F.max(F.greatest("n0", "n1")).alias("most")), "toxic-words"
     )
@@ -173,8 +174,6 @@ def entries(pairs: DataFrame) -> tuple[DataFrame, float]:
 
 
 def _as_long(v, w):
-    import pandas as pd
-
     return pd.Series(pair_key(v.to_numpy().view(np.uint64), w.to_numpy().view(np.uint64)).view(np.int64))
 
 
@@ -233,8 +232,6 @@ def with_evidence(docs: DataFrame, name: str, model: DataFrame, unseen: float, s
         sent = spark.sparkContext.broadcast(Model(*columns_of(model.toArrow()), unseen))
 
         def run(texts):
-            import pandas as pd
-
             return pd.Series(sent.value.evidence([hashes_of(t) for t in texts]))
 
         return docs.withColumn(name, F.pandas_udf(run, "double")(F.col("text")))
@@ -281,42 +278,42 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return float(beta[0] / scale), float(beta[1])
 
 
+def joined(rows: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``rows`` joined with ``ids`` (materialized), which are shipped where they are few."""
+    return rows.join(F.broadcast(ids) if ids.count() <= SHIPPED_IDS else ids, on, how)
+
+
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, label, half and text of the labelled documents to learn from."""
+    """doc_id, label, text, families and whether the curve may use it, of the labelled documents to learn from."""
     doc_id = F.col("doc_id")
     own = lambda df: df.where(doc_id.isNotNull() & (id_remainder(doc_id, FOLDS) != HELD_OUT))
     known = own(labels.where("toxic in (0, 1)").select(doc_id.cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))).distinct()
     texts = own(docs.select(doc_id.cast("long").alias("doc_id"), "text"))
-    half = (F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))).cast("int")
-    return texts.join(known, "doc_id").withColumn("half", half)
-
-
-def learned(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, shipped: int = SHIPPED) -> tuple[DataFrame | None, float, float, float]:
-    """Entries, ratio of unseen words, and slope and constant of the curve; without both labels, no entries and the constant's odds."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(zip(*(families(hashes_of(t)) for t in batch.column("text").to_pylist()))) or [()] * DRAWINGS
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(f, pa.int64()) for f in found)], [*batch.schema.names, *(f"f{i}" for i in range(DRAWINGS))])
 
-    kinds = "doc_id long, text string, label int, half int, " + ", ".join(f"f{i} long" for i in range(DRAWINGS))
-    rows = materialize(training(docs, labels).select("doc_id", "text", "label", "half").mapInArrow(describe, kinds), "toxic-train")
-    ids = rows.drop("text")
-    drawn, share = sample_by_class(ids.select("doc_id", "label").distinct(), "label", per_class)
-    if len(share) < 2:
-        return None, 1.0, 0.0, float(next(iter(share), 0))
-    kept = materialize(one_of_each_family(ids).select("doc_id", "label"), "toxic-kept")
-    texts = rows.join(kept, ["doc_id", "label"], "left_semi")
-    pairs = materialize(pair_counts(texts.drop(*(f"f{i}" for i in range(DRAWINGS)))), "toxic-pairs")
-    seen = []
-    sample = materialize(rows.select("doc_id", "label", "half", "text").join(F.broadcast(drawn), ["doc_id", "label"], "left_semi"), "toxic-sample")
-    for half in (0, 1):
-        model, unseen = entries(pairs.select("v", "w", *[F.col(f"n{c}{1 - half}").alias(f"n{c}") for c in (0, 1)]))
-        seen.append(with_evidence(sample.where(F.col("half") == half), "x", model, unseen, shipped).select("doc_id", "label", "x").toPandas())
-    model, unseen = entries(pairs.select("v", "w", *[(F.col(f"n{c}0") + F.col(f"n{c}1")).alias(f"n{c}") for c in (0, 1)]))
-    import pandas as pd
-
-    seen = pd.concat(seen).sort_values(["doc_id", "label", "x"], ignore_index=True)
+    rows = joined(texts, materialize(known, "toxic-labels"), ["doc_id"], "inner").select("doc_id", "text", "label", drawn_by_hash(CURVE_SHARE, F.lit("curve"), "doc_id").alias("curve"))
+    return materialize(rows.mapInArrow(describe, "doc_id long, text string, label int, curve boolean, " + ", ".join(f"f{i} long" for i in range(DRAWINGS))), "toxic-train")
+
+
+def learned(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, shipped: int = SHIPPED) -> tuple[DataFrame | None, float, float, float]:
+    """Entries, ratio of unseen words, and slope and constant of the curve; without both labels, no entries and the share of label 1."""
+    rows = training(docs, labels)
+    kinds = [r[0] for r in rows.select("label").distinct().collect()]
+    if len(kinds) < 2:
+        return None, 1.0, 0.0, float(next(iter(kinds), 0))
+    count_rows = rows.where("not curve")
+    kept = materialize(one_of_each_family(count_rows.drop("text", "curve")).select("doc_id", "label"), "toxic-kept")
+    pairs = materialize(pair_counts(joined(count_rows, kept, ["doc_id", "label"], "left_semi")), "toxic-pairs")
+    model, unseen = entries(pairs)
+    drawn, share = sample_by_class(rows.where("curve").select("doc_id", "label").distinct(), "label", per_class)
+    if len(share) < 2:  # too few rows for a curve
+        return model, unseen, 1000.0, -3.0
+    sample = rows.where("curve").select("doc_id", "label", "text").join(F.broadcast(drawn), ["doc_id", "label"], "left_semi")
+    seen = with_evidence(sample, "x", model, unseen, shipped).select("doc_id", "label", "x").toPandas().sort_values(["doc_id", "label", "x"], ignore_index=True)
     weight = seen["label"].map({k: 1 / s for k, s in share.items()}).to_numpy(float)
     slope, constant = fit_curve(seen["x"].to_numpy(float), seen["label"].to_numpy(float), weight * len(weight) / weight.sum())
     return model, unseen, slope, constant

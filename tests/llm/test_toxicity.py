@@ -91,9 +91,7 @@ def brute_ratio(rows, text):
 def test_models_agree_with_written_out_ones_and_sum_to_one(spark):
     docs, labels = corpus(60, 9)
     rows = [(lab, " ".join(t.split()[:40])) for (_, t), (_, lab) in zip(docs, labels)]
-    df = spark.createDataFrame([(k, i % 2, t) for i, (k, t) in enumerate(rows)], "label int, half int, text string")
-    pairs = tox.pair_counts(df).selectExpr("v", "w", "n00 + n01 n0", "n10 + n11 n1")
-    model, unseen = tox.entries(pairs)
+    model, unseen = tox.entries(tox.pair_counts(spark.createDataFrame(rows, "label int, text string")))
     asked = [rows[0][1], rows[3][1], "grotface slimewit", "never seen words of any kind", rows[5][1] + " dungbrain"]
     texts = spark.createDataFrame([(i, t) for i, t in enumerate([*asked, "", None])], "i int, text string")
     got = {r.i: r.x for r in tox.with_evidence(texts, "x", model, unseen).collect()}
@@ -133,8 +131,8 @@ def test_near_copies_are_one_family(spark):
     rng = random.Random(2)
     words = [f"w{''.join(rng.choice('abcde') for _ in range(5))}" for _ in range(300)]
     texts = [" ".join([*words, "x" * k]) for k in range(1, 9)] + [" ".join(rng.sample(words, 300)) for _ in range(8)] + ["a b", "a b", "a c", ""]
-    rows = [(i, 1, 0, *tox.families(tox.hashes_of(t))) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, "doc_id long, label int, half int, f0 long, f1 long, f2 long")
+    rows = [(i, 1, *tox.families(tox.hashes_of(t))) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, label int, f0 long, f1 long, f2 long")
     kept = {r.doc_id for r in tox.one_of_each_family(df).collect()}
     assert kept == {0, *range(8, 16), 16, 18, 19}
 
