@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
+from .sampling import drawn_by_hash
 
 K, EVERY = 20, 20
 #: Rows that the tree is fitted on, queries that calibrate it (both at most, in expectation), recall to reach on those.
@@ -195,7 +196,7 @@ def calibrated_visits(tree: Tree, index: DataFrame, queries: np.ndarray, query_i
 def drawn(rows: DataFrame, n: int, salt: str) -> tuple[np.ndarray, np.ndarray]:
     """About n rows, by the hash of vec_id, in its order."""
     share = min(1.0, n / max(1, rows.count()))
-    some = rows.where(F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(1_000_000)) < round(share * 1_000_000)).toPandas().drop_duplicates("vec_id").sort_values("vec_id")
+    some = rows.where(drawn_by_hash(share, F.lit(salt), "vec_id") | F.lit(share >= 1)).toPandas().drop_duplicates("vec_id").sort_values("vec_id")
     return some["vec_id"].to_numpy(np.int64), np.array(some["v"].tolist(), np.float64)
 
 

@@ -9,7 +9,7 @@ offset (u64), document id (i64), number of ids (u32), flags (u32); it serves rea
 Shards ascend by document id: documents are range-partitioned and sorted on it, each task writes its own shards under
 temporary names and renames them, so a task that runs again replaces its files by equal ones. Shards roll at a size.
 
-Defined cases: a null or empty text has the end id only; a null doc_id sorts first and stays null; rows that share a
+Defined cases: texts of any length are encoded whole; a null or empty text has the end id only; a null doc_id sorts first and stays null; rows that share a
 doc_id are records of their own, ordered by text; an empty table gives no shard and no row. Other columns aren't read.
 """
 
@@ -75,7 +75,8 @@ class PieceCache(dict):
                 low = "".join(map(self.byte_chars.__getitem__, low.encode()))
             return np.array([t.id for t in self.model.tokenize(low)], self.dtype).tobytes()
         letters = piece.rstrip(self.PUNCTUATION)
-        if letters != piece and letters.isalpha():  # the marks after a word are one piece to the tokenizer
+        # the marks after a word are one piece to the tokenizer, if the word ends in a letter for it too
+        if letters != piece and letters.isalpha() and unicodedata.normalize("NFC", letters).lower().isalpha():
             return self[letters] + self[piece[len(letters) :]]
         return self.whole(piece)
 

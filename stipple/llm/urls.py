@@ -6,7 +6,8 @@ Everything is DataFrame functions and Spark's own tree learner; scoring is one p
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule and the trees' verdict on its
 (then mostly zero) features; without labelled URLs of both kinds, every URL without a rule gets the verdict of the
-labelled ones, or allow if there are none; repeated rows are judged alike; columns besides page_id and url are not read.
+labelled ones, or allow if there are none; URLs of any length are read whole; rules of equal length and equal scores are settled by their
+order and by allow; repeated rows are judged alike; columns besides page_id and url are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
+from .sampling import drawn_by_hash
 
 #: (host, path, verdict)
 RULES = [
@@ -27,10 +29,10 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-#: At most about this many labelled URLs are learned from, drawn by the hash of the URL.
+#: At most about this many labelled URLs are learned from, half of each verdict where there are enough, drawn by the hash of page and URL.
 MAX_TRAIN = 20_000
-#: Suffixes with a statistic of their own, the most frequent ones; the others share the mean.
-MAX_SUFFIXES = 512
+#: Suffix tables up to this many rows are shipped to the executors; larger ones are joined by a shuffle.
+SHIPPED_SUFFIXES = 100_000
 FEATURES = ["f_length", "f_host_length", "f_path_length", "f_depth", "f_digits", "f_entropy", "f_params", "f_hyphens", "f_labels", "f_fragment", "f_https", "f_suffix"]
 TREES, DEPTH = 20, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,13 +86,20 @@ def with_features(pages: DataFrame) -> DataFrame:
 
 
 def suffix_shares(labelled: DataFrame) -> tuple[DataFrame, float]:
-    """Smoothed share of blocked URLs per suffix, at most MAX_SUFFIXES rows, and the share of all; from all labelled URLs."""
+    """Labelled URLs (n) and blocked ones (b) of every suffix, and the share of blocked ones of all; from all labelled URLs."""
     blocked = F.sum((F.col("rule_verdict") == "block").cast("int"))
-    by = labelled.groupBy("__suffix").agg(F.count("*").alias("n"), blocked.alias("b"))
+    by = materialize(labelled.groupBy("__suffix").agg(F.count("*").alias("n"), blocked.alias("b")), "url-suffixes")
     total = by.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
-    mean = (total["b"] or 0) / total["n"] if total["n"] else 0.0
-    top = by.orderBy(F.desc("n"), "__suffix").limit(MAX_SUFFIXES)
-    return top.select("__suffix", ((F.col("b") + 10 * mean) / (F.col("n") + 10)).alias("f_suffix")), mean
+    return by, (total["b"] or 0) / total["n"] if total["n"] else 0.0
+
+
+def with_suffix_share(rows: DataFrame, shares: DataFrame, mean: float, own: Column) -> DataFrame:
+    """Adds f_suffix, the smoothed share of blocked URLs with the row's suffix. own: the row's share in the counts (1 if it was counted),
+    which is left out."""
+    few = shares.count() <= SHIPPED_SUFFIXES
+    blocked = F.when(F.col("rule_verdict") == "block", own).otherwise(0)
+    n, b = F.coalesce("n", F.lit(0)) - own, F.coalesce("b", F.lit(0)) - blocked
+    return rows.join(F.broadcast(shares) if few else shares, "__suffix", "left").withColumn("f_suffix", (b + 10 * mean) / (n + 10)).drop("n", "b")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -102,15 +111,26 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, max_train
     if len(kinds) < 2:
         return result(rows, F.lit(None).cast("double"), F.lit(next(iter(kinds), "allow")))
     shares, mean = suffix_shares(labelled)
-    shares = materialize(shares, "url-suffixes")
-    full = lambda df: df.join(F.broadcast(shares), "__suffix", "left").fillna({"f_suffix": mean})
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="__features")
-    keep = min(1.0, max_train / sum(kinds.values()))
-    drawn = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(keep * 1_000_000))
-    train = materialize(full(drawn).select(*FEATURES, (F.col("rule_verdict") == "block").cast("double").alias("__label")), "url-train")
-    learner = GBTClassifier(featuresCol="__features", labelCol="__label", maxIter=TREES, maxDepth=DEPTH, seed=7, cacheNodeIds=False)
+    # of each verdict half of the sample, or all if it has fewer; the rest of the half goes to the other
+    few, many = sorted(kinds, key=kinds.get)
+    of_few = min(kinds[few], max_train // 2)
+    wanted = {few: of_few, many: max_train - of_few}
+    keep = F.lit(0.0)
+    for verdict, count in kinds.items():
+        keep = F.when(F.col("rule_verdict") == verdict, min(1.0, wanted[verdict] / count)).otherwise(keep)
+    drawn = labelled.where(drawn_by_hash(keep, F.col("page_id").cast("string"), "url") | (keep >= 1))
+    weight = F.lit(0.0)
+    for verdict, count in kinds.items():
+        weight = F.when(F.col("rule_verdict") == verdict, count / min(count, wanted[verdict])).otherwise(weight)
+    scale = sum(kinds.values()) / sum(min(n, wanted[v]) for v, n in kinds.items())
+    columns = [*FEATURES, (F.col("rule_verdict") == "block").cast("double").alias("__label"), (weight / scale).alias("__weight")]
+    train = materialize(with_suffix_share(drawn, shares, mean, F.lit(1)).select(*columns), "url-train")
+    if train.groupBy("__label").count().count() < 2:  # by chance none of one kind
+        train = materialize(with_suffix_share(labelled, shares, mean, F.lit(1)).select(*columns), "url-train")
+    learner = GBTClassifier(featuresCol="__features", labelCol="__label", weightCol="__weight", maxIter=TREES, maxDepth=DEPTH, seed=7, cacheNodeIds=False)
     model = learner.fit(assembler.transform(train)).setPredictionCol("__says").setProbabilityCol("__share").setRawPredictionCol("__raw")
-    scored = model.transform(assembler.transform(full(rows)))
+    scored = model.transform(assembler.transform(with_suffix_share(rows, shares, mean, F.lit(0))))
     score = vector_to_array("__share")[1]
     return result(scored, score, F.when(score > 0.5, "block").otherwise("allow"))
 

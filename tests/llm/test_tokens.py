@@ -1,3 +1,5 @@
+import sys
+import unicodedata
 import zlib
 
 import numpy as np
@@ -64,3 +66,13 @@ def test_cache_generations(spark):
     cache = tokens.PieceCache(Tokenizer.from_file(PATH), "<u2", limit=3)
     text = "one two three four five one two"
     assert cache.text(text) == cache.whole(text) and len(cache) <= 3
+
+
+def test_every_letter_mark_and_number_beside_marks():
+    """Pieces agree with whole-text encoding wherever composing or lower-casing changes what counts as a letter."""
+    cache = tokens.PieceCache(Tokenizer.from_file(PATH), "<u4")
+    chars = [c for i in range(sys.maxunicode) if unicodedata.category(c := chr(i))[0] in "LMN"]
+    for form in ("{}.", "ab{},", "{}'s", "KAD{}i' x"):
+        texts = [form.format(c) for c in chars]
+        want = cache.tokenizer.encode_batch(texts, add_special_tokens=False)
+        assert [t for t, w in zip(texts, want) if np.frombuffer(cache.text(t), "<u4").tolist() != w.ids] == []

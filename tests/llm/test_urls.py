@@ -1,5 +1,7 @@
+import math
 import re
 
+import pytest
 from stipple.llm import urls
 
 CASES = [
@@ -43,3 +45,32 @@ def test_learns_a_lexical_rule(spark):
     got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows + tests, "page_id long, url string")).collect()}
     right = sum(got[p] == ("block" if p < 6000 else "allow") for p, _ in tests)
     assert right >= 36
+
+
+def test_features_against_plain_python(spark):
+    df = urls.with_features(urls.with_parts(spark.createDataFrame([(i, u) for i, u in enumerate(CASES)], "page_id long, url string")))
+    for r in df.collect():
+        url = CASES[r.page_id] or ""
+        host, path, _ = brute(url)
+        query = url.split("#", 1)[0].split("?", 1)[1] if "?" in url.split("#", 1)[0] else ""
+        share = [url.count(c) / len(url) for c in set(url)]
+        want = [len(url), len(host), len(path), path.count("/"), sum(c in "0123456789" for c in url) / max(1, len(url)), -sum(s * math.log2(s) for s in share),
+                query.count("&") + 1 if query else 0, url.count("-"), host.count(".") + 1 if host else 0, "#" in url, url.startswith("https://")]
+        assert [r[f] for f in urls.FEATURES[:-1]] == pytest.approx([float(x) for x in want]), url
+
+
+def test_suffix_shares_leave_the_row_out(spark):
+    rows = [(i, f"http://a{i}.com/") for i in range(3)] + [(9, "http://b.net/es/"), (10, "http://c.net/zz/")]
+    df = urls.with_features(urls.with_rule(urls.with_parts(spark.createDataFrame(rows, "page_id long, url string")), urls.RULES))
+    shares, mean = urls.suffix_shares(df.where("rule is not null"))
+    seen = {r.page_id: r.f_suffix for r in urls.with_suffix_share(df.where("rule is not null"), shares, mean, urls.F.lit(1)).collect()}
+    new = {r.page_id: r.f_suffix for r in urls.with_suffix_share(df, shares, mean, urls.F.lit(0)).collect()}
+    assert mean == 0.25 and seen[9] == mean and new[10] == pytest.approx((1 + 2.5) / 11) and seen[0] == pytest.approx(2.5 / 12)
+
+
+def test_a_rare_verdict_and_repeated_rows(spark):
+    """One blocked URL among thousands is learned from, however small the sample is."""
+    rows = [(i, f"http://good{i}.com/about") for i in range(3000)] + [(9000, "http://x.net/es/1"), (9001, "http://x.org/"), (9001, "http://x.org/")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), max_train=50).collect()
+    assert len(got) == len(rows) and all(r.score is not None for r in got)
+    assert len({(r.verdict, r.score) for r in got if r.page_id == 9001}) == 1
