@@ -11,6 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 _made: list[str] = []
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with a scheme: one without is of the cluster's default file system, as in Spark's own readers."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    default = jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(conf)
+    scheme = place.toUri().getScheme() or default.getScheme()
+    if scheme != "file":
+        return place.makeQualified(default, jvm.org.apache.hadoop.fs.Path("/")).toString()
+    return "file://" + place.toUri().getPath()
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh directory URI in the folder that spark.checkpoint.dir names.
 
@@ -22,10 +33,7 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="stipple-")
         spark.conf.set("spark.checkpoint.dir", base)
-    if base.startswith("/"):
-        base = "file://" + base
-    if base.startswith("file:/") and not base.startswith("file://"):
-        base = "file://" + base[len("file:"):]
+    base = qualified(spark, base)
     _made.append(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}")
     return _made[-1]
 
