@@ -256,12 +256,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-# --- near copies: several word fingerprints to find, one wide shingle fingerprint to verify -------------------------
+# --- near copies: word fingerprints find candidates, a wide shingle fingerprint filters them, exact similarity decides ----
 
-#: Fingerprints of single words that candidates may share; five-word shingles and bits of the sketch that verifies.
-VIEWS, SKETCH_SHINGLE, SKETCH_WORDS = 8, 5, 8
-#: Least similarity (Jaccard) of texts to be linked. The sketch's standard error is about 0.04 there, and the bound on differing
-#: bits leaves two such errors, so that pairs at the bound are found; some pairs down to 0.7 are linked as well.
+#: Fingerprints of single words that candidates may share; five-word shingles and bits of the sketch that filters.
+VIEWS, SKETCH_SHINGLE, SKETCH_WORDS = 16, 5, 8
+#: Least similarity (Jaccard of the sets of five-word shingles) of texts to be linked. The sketch's standard error is about 0.04 there,
+#: and the bound on differing bits leaves two such errors; what passes is held to the similarity itself.
 SIMILARITY = 0.8
 
 
@@ -280,7 +280,7 @@ def mixed(h: np.ndarray, i: int) -> np.ndarray:
     return z ^ z >> np.uint64(31)
 
 
-def family_counts(hashes: list[int], n: int) -> np.ndarray:
+def family_counts(hashes: list[int] | np.ndarray, n: int) -> np.ndarray:
     h = np.array(hashes, np.uint64)
     return bit_sums(np.concatenate([mixed(h, i) for i in range(n)]), np.arange(n) * len(h))
 
@@ -289,32 +289,47 @@ def majority(counts: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(2 * counts > n, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+def shingle_set(data: bytes | None) -> np.ndarray:
+    """The distinct hashes of a text's five-word shingles, sorted; of fewer words, that of all of them."""
+    digest = xxhash.xxh64_intdigest
+    kept: list[bytes] = []
+    found = [np.zeros(0, np.uint64)]
+    for words in word_chunks(data or b""):
+        words = kept + words
+        if len(words) >= SKETCH_SHINGLE:
+            found.append(np.unique(np.array([digest(b" ".join(t), SEED) for t in zip(*(words[i:] for i in range(SKETCH_SHINGLE)))], np.uint64)))
+            kept = words[1 - SKETCH_SHINGLE :]
+        else:
+            kept = words
+    if len(found) == 1:
+        return np.array([digest(b" ".join(kept), SEED)] if kept else [], np.uint64)
+    return np.unique(np.concatenate(found))
+
+
+def jaccard_of(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
 def describe(data: bytes | None) -> tuple[bytes, list[int], bytes]:
-    """(hash of the lower-cased words, VIEWS fingerprints of words, sketch of five-word shingles) of a text."""
+    """(hash of the lower-cased words, VIEWS fingerprints of words, sketch of the distinct five-word shingles) of a text."""
     digest = xxhash.xxh64_intdigest
     whole = xxhash.xxh3_128()
-    views, sketch = np.zeros((VIEWS, BITS), np.int64), np.zeros((SKETCH_WORDS, BITS), np.int64)
-    n_words = n_shingles = 0
-    kept: list[bytes] = []
+    views = np.zeros((VIEWS, BITS), np.int64)
+    n_words = 0
     for words in word_chunks(data or b""):
         if not words:
             continue
         whole.update(b" ".join(words) + b" ")
         views += family_counts([digest(w, SEED) for w in words], VIEWS)
         n_words += len(words)
-        words = kept + words
-        if len(words) >= SKETCH_SHINGLE:
-            hashes = [digest(b" ".join(t), SEED) for t in zip(*(words[i:] for i in range(SKETCH_SHINGLE)))]
-            sketch += family_counts(hashes, SKETCH_WORDS)
-            n_shingles += len(hashes)
-        kept = words[1 - SKETCH_SHINGLE :]
-    if not n_shingles and kept:
-        sketch, n_shingles = family_counts([digest(b" ".join(kept), SEED)], SKETCH_WORDS), 1
-    return whole.digest(), majority(views, n_words).view(np.int64).tolist(), majority(sketch, n_shingles).tobytes()
+    shingles = shingle_set(data)
+    sketch = family_counts(shingles, SKETCH_WORDS) if len(shingles) else np.zeros((SKETCH_WORDS, BITS), np.int64)
+    return whole.digest(), majority(views, n_words).view(np.int64).tolist(), majority(sketch, len(shingles)).tobytes()
 
 
 def verified_forest(fp: np.ndarray, sketch: np.ndarray, node: np.ndarray, which: int, radius: int, most: int, sub: int = -1) -> list[tuple[int, int]]:
-    """(node, root) edges that connect what links connect: fingerprints within ``radius`` that share block ``which``, sketches within ``most`` bits.
+    """Links (node, node) that connect what all links connect: fingerprints within ``radius`` that share block ``which``, sketches within ``most`` bits.
 
     Pairs that are connected already are not compared, so a crowd of near copies costs about its size.
     """
@@ -333,9 +348,12 @@ def verified_forest(fp: np.ndarray, sketch: np.ndarray, node: np.ndarray, which:
     def near(i: int, others: np.ndarray) -> np.ndarray:
         return others[np.bitwise_count(sketch[others] ^ sketch[i]).sum(1, dtype=np.int64) <= most]
 
-    def join(a: int, b: int) -> None:
-        a, b = find(a), find(b)
+    links: list[tuple[int, int]] = []
+
+    def join(i: int, j: int) -> None:
+        a, b = find(i), find(j)
         if a != b:
+            links.append((int(node[i]), int(node[j])))
             parent[max(a, b)] = min(a, b)
 
     one = np.ones(len(starts), bool)  # whether the members of a fingerprint are connected
@@ -364,7 +382,28 @@ def verified_forest(fp: np.ndarray, sketch: np.ndarray, node: np.ndarray, which:
                     if find(int(j)) != root:
                         join(i, int(j))
                         root = find(i)
-    return [(int(node[i]), int(node[find(i)])) for i in range(len(fp)) if find(i) != i]
+    return links
+
+
+def similar_links(rows: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """Those of the links ``found`` (u, v: doc_ids) whose texts in ``rows`` (doc_id, text) reach the similarity."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingle_set(texts[i].as_py()).tobytes() for i in range(batch.num_rows)], pa.binary())], ["doc_id", "shingles"])
+
+    linked = found.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    # of repeated doc_ids one row stands for all
+    each = materialize(rows.join(linked, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary").groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "near-copy-sets")
+    full = found.join(each.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u").join(each.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [jaccard_of(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= similarity for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("u", "v")], ["u", "v"])
+
+    return full.mapInArrow(check, "u long, v long")
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -394,16 +433,16 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: int = R
             for t in {*zip(view.tolist(), which.tolist(), sub.tolist())}:
                 some = (view == t[0]) & (which == t[1]) & (sub == t[2])
                 kept.setdefault(t, []).append((fp[some], sketch[some], node[some]))
-        held: list[tuple[int, int]] = []
+        held: set[tuple[int, int]] = set()
         for t in sorted(kept):
             columns = [np.concatenate(c) for c in zip(*kept.pop(t))]
-            held += verified_forest(*columns, t[1], radius, most, t[2])
-        if held := local_forest(held):
+            held |= {(min(x), max(x)) for x in verified_forest(*columns, t[1], radius, most, t[2])}
+        if held:
             u, v = zip(*held)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    edges = dealt.mapInArrow(link, "u long, v long")
-    roots = connected_components(edges)
+    found = materialize(dealt.mapInArrow(link, "u long, v long").distinct(), "near-copy-links")
+    roots = connected_components(similar_links(rows, found, similarity))
     return classes.select("doc_id").join(roots.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
 
 
