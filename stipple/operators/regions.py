@@ -6,6 +6,7 @@ Volumes are sparse voxel tables (vx, vy, vz, label); an absent voxel is backgrou
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -323,9 +324,19 @@ def check_csv(path: str | None) -> None:
 
 
 def write_csv(summary: DataFrame, path: str | None) -> DataFrame:
-    """A region summary is one row per region; it is written as one file."""
+    """Writes a region summary, one row per region, as one CSV file in whatever file system the path names."""
     if path is not None:
-        summary.orderBy("region_id").coalesce(1).write.mode("overwrite").csv(str(path), header=True)
+        spark = summary.sparkSession
+        part = f"{path}.parts-{uuid.uuid4().hex[:8]}"
+        summary.orderBy("region_id").coalesce(1).write.csv(part, header=True)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        folder, target = jvm.org.apache.hadoop.fs.Path(part), jvm.org.apache.hadoop.fs.Path(str(path))
+        fs = folder.getFileSystem(conf)
+        written = [x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-")]
+        fs.delete(target, True)
+        if not fs.rename(written[0], target):
+            raise OSError(f"could not write {path}")
+        fs.delete(folder, True)
     return summary
 
 

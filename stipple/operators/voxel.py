@@ -39,8 +39,15 @@ def points_in_target(dataset: PointCloudDataset, target: SpaceDefinition) -> Dat
 
 
 def voxelize_point_centroids_to_count_map(dataset: PointCloudDataset, target: SpaceDefinition) -> VoxelMap:
-    metadata = dataset.metadata.derived("count_map", ProcessingProvenance("voxelize_point_centroids", parameters={"target_space": target.space_name}), kind="voxel_map", space=target, value_units="count")
-    return VoxelMap(dataset.subject_name, accumulate_count_map(points_in_target(dataset, target), target), metadata)
+    """Counts of points per target voxel; the sidecar has what was put in, kept and left out."""
+    kind = dataset.metadata.representation
+    counts = accumulate_count_map(points_in_target(dataset, target), target)
+    about = counts.agg(F.count("*").alias("nonzero_voxels"), F.coalesce(F.sum("value"), F.lit(0)).alias("total_count"))
+    summary = voxelization_summary(dataset, target).crossJoin(about).first().asDict()
+    parameters = {"source_kind": kind.kind, "source_representation_type": kind.representation_type, "target_space_name": target.space_name}
+    provenance = ProcessingProvenance("voxelize_to_space", dataset.subject_name, parameters, summary)
+    metadata = dataset.metadata.derived("count_map", provenance, kind="voxel_map", space=target, value_units="objects_per_voxel")
+    return VoxelMap(dataset.subject_name, counts, metadata)
 
 
 def voxelization_summary(dataset: PointCloudDataset, target: SpaceDefinition) -> DataFrame:
@@ -72,8 +79,14 @@ def count_map_to_density_map(counts: VoxelMap, validate: bool = True) -> VoxelMa
     if validate:
         validate_counts(counts)
     density = (F.col("value").cast("float") / F.lit(counts.space.voxel_volume_mm3).cast("float")).cast("float")
-    metadata = counts.metadata.derived("density_map", ProcessingProvenance("count_map_to_density_map"), value_units="count_per_mm3")
-    return VoxelMap(counts.subject_name, counts.voxels.select(*VOXEL, density.alias("value")), metadata)
+    volume, before = counts.space.voxel_volume_mm3, counts.metadata.representation
+    found = counts.voxels.select(*VOXEL, density.alias("value"))
+    total = counts.voxels.agg(F.coalesce(F.sum(F.col("value").cast("double")), F.lit(0.0)).alias("total_count"))
+    top = found.agg(F.count(F.when(F.col("value") != 0, 1)).alias("nonzero_voxels"), F.coalesce(F.max("value").cast("double"), F.lit(0.0)).alias("max_density_objects_per_mm3"))
+    summary = total.crossJoin(top).first().asDict()
+    parameters = {"source_representation_type": before.representation_type, "source_value_units": before.value_units, "voxel_volume_mm3": volume}
+    metadata = counts.metadata.derived("density_map", ProcessingProvenance("count_map_to_density_map", counts.subject_name, parameters, summary), value_units="objects_per_mm3")
+    return VoxelMap(counts.subject_name, found, metadata)
 
 
 def denominator_axes(spark: SparkSession, source: SpaceDefinition, target: SpaceDefinition) -> list[DataFrame]:

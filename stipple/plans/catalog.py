@@ -511,10 +511,10 @@ def _(spark, sf_dir):
 
 @named("detections_from_pixels", f"""WITH {p.LAB}, s AS (SELECT z, label, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS sxx, var_pop(y) AS syy, covar_pop(x, y) AS sxy FROM lab GROUP BY ALL),
  t AS (SELECT *, (sxx + syy) / 2 + sqrt(((sxx - syy) / 2) ** 2 + sxy ** 2) AS l1, greatest((sxx + syy) / 2 - sqrt(((sxx - syy) / 2) ** 2 + sxy ** 2), 0) AS l2 FROM s)
-SELECT row_number() OVER (ORDER BY z, label) AS detection_id, label AS seg_num, floor(mx + 0.5)::BIGINT AS x, floor(my + 0.5)::BIGINT AS y, z, n AS area_px, round(4 * sqrt(l1), 4) AS major_axis_length_px, round(mx, 4) AS x_float, round(my, 4) AS y_float FROM t""")
+SELECT row_number() OVER (ORDER BY z, label) AS detection_id, label AS seg_num, floor(mx + 0.5)::BIGINT AS x, floor(my + 0.5)::BIGINT AS y, z, n AS area_px, round(4 * sqrt(l1), 4) AS major_axis_length_px, round(4 * sqrt(CASE WHEN l2 < 1e-12 * greatest(l1, 1) THEN 0 WHEN l1 - l2 < 1e-12 * greatest(l1, 1) THEN l1 ELSE l2 END), 4) AS minor_axis_length_px,
+ round(CASE WHEN l1 > 0 THEN sqrt(1 - CASE WHEN l2 < 1e-12 * greatest(l1, 1) THEN 0 WHEN l1 - l2 < 1e-12 * greatest(l1, 1) THEN l1 ELSE l2 END / l1) ELSE 0 END, 4) AS eccentricity, round(mx, 4) AS x_float, round(my, 4) AS y_float FROM t""")
 def _(spark, sf_dir):
-    found = masks.detections_from_pixels(p.label_pixels(spark, sf_dir))
-    return rounded(found.drop("minor_axis_length_px", "eccentricity"), 4)
+    return rounded(masks.detections_from_pixels(p.label_pixels(spark, sf_dir)), 4)
 
 
 @named("signal_points_from_pixels", f"WITH {p.LAB} SELECT row_number() OVER (ORDER BY z, y, x) AS point_id, x, y, z FROM lab")

@@ -63,7 +63,7 @@ def test_scopes_end_to_end(spark, tmp_path):
     row = r.region_summary.where("region_id = 68").first()
     assert (row.bilateral_object_count, row.left_object_count, row.right_object_count) == (1, 1, 0)
     assert abs(row.left_object_density_per_mm3 - 1e6) < 1e-3 and row.right_object_density_per_mm3 is None and row.region_acronym == "FRP1"
-    assert spark.read.csv(str(tmp_path / "s.csv"), header=True).count() == 2
+    assert (tmp_path / "s.csv").is_file() and spark.read.csv(str(tmp_path / "s.csv"), header=True).count() == 2
     for bad in (dict(output_csv="x.txt"), dict(hemisphere=line(spark, [1, 2, 0]))):
         with pytest.raises(ValueError):
             rg.quantify_objects_by_region(ds, line(spark, [68, 0, 667]), GRID, **bad)

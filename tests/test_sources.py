@@ -257,7 +257,9 @@ def test_projections_and_region_image(spark, tmp_path):
     assert tuples(qc.count_projection(pts, grid, "x", "y")) == [(0, 0, 2), (2, 1, 1)]
     assert tuple(qc.representative_slices(pts, grid).first()) == (0, 0, 1)
     assert tuple(qc.representative_slices(pts.where("false"), grid).first()) == (1, 1, 1)
-    assert qc.thinned(simple(spark, [(i, i, 0, 0) for i in range(50)]), 10, ["detection_id"]).count() == 10
+    for n, limit in ((50, 10), (10, 50), (97, 13), (100, 99), (5, 1), (30, 2)):
+        kept = [r.x for r in qc.thinned(simple(spark, [(i, i, 0, 0) for i in range(n)]), limit, ["detection_id"]).orderBy("x").collect()]
+        assert kept == (list(range(n)) if n <= limit else np.linspace(0, n - 1, limit, dtype=np.int64).tolist())
     from pyspark.sql import functions as F
 
     ann = voxels(spark, [(x, y, z, x) for x in range(3) for y in range(2) for z in range(2)], "label")
