@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting to delete a query's shuffle files when it ends; nothing else can read those of a write.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: list[str] = []
 
 
@@ -41,11 +44,20 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back.
 
-    Cuts the lineage at replicated storage, so that a lost executor costs a re-read and not a recomputation.
+    Cuts the lineage at replicated storage, so that a lost executor costs a re-read and not a recomputation. The
+    shuffle files behind the table go as soon as it is written.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
