@@ -47,3 +47,28 @@ class Pattern:
         for score in self._run(text, 1):
             pass
         return score
+
+    def within(self, text: Sequence[Hashable], most: int) -> bool:
+        """Whether the distance to the whole of ``text`` is at most ``most``; stops where what is left of the text can't mend it."""
+        if not self.n:
+            return len(text) <= most
+        plus, minus, score, full, top, get = self.all, 0, self.n, self.all, self.top, self.masks.get
+        allowed = most + len(text)
+        for s in text:
+            eq = get(s, 0)
+            vertical = eq | minus
+            horizontal = (((eq & plus) + plus) ^ plus) | eq
+            up = minus | ~(horizontal | plus)
+            down = plus & horizontal
+            if up & top:
+                score += 1
+            elif down & top:
+                score -= 1
+            allowed -= 1
+            if score > allowed:  # a further symbol lowers the score by one at most
+                return False
+            up = up << 1 | 1
+            down <<= 1
+            plus = (down | ~(vertical | up)) & full
+            minus = up & vertical & full
+        return score <= most
