@@ -12,8 +12,8 @@ A toxic text is mostly ordinary language with some toxic expressions, so its wor
 the probability ``MIX`` and else from the ordinary one. A text's evidence is the difference of the two log-likelihoods per word, and a
 logistic curve over it gives the score. The curve is fitted on at most about ``PER_CLASS`` documents of each label, drawn from the share
 ``CURVE_SHARE`` of the documents that the counts leave out. The counts come from all other labelled documents that are not
-held out. Models of up to ``SHIPPED`` entries go to every worker; of larger ones, documents are dealt to batches, and
-each batch gets the entries of its own words by a join.
+held out. Models of up to ``SHIPPED`` entries go to every worker; larger ones stay in the shared folder, sorted by key, and a worker
+reads them through for each ``GROUP_WORDS`` words of its documents and keeps the entries of those words. No document is shuffled.
 
 Defined cases: a null or empty text, or one without letters, gets the curve's value for no evidence; texts of any length are read whole;
 texts of equal evidence get equal scores; without labels of both kinds every score is the share of label 1 (0 without labels); several labels of one doc_id count each;
@@ -29,11 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, materialize, table
+from .common import discard, filesystem, id_remainder, materialize, n_partitions, table
 from .sampling import drawn_by_hash, sample_by_class
 from .simhash import mixed
 
@@ -43,12 +44,12 @@ FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Share of a toxic text that its toxic expressions make up; least continuations of a word and documents of a pair.
 MIX, MIN_LEFT, MIN_DOCS = 0.005, 3, 5
-#: Entries of a model that go to every worker (40 bytes each); bytes of text in a batch beyond that; ids that a join ships to every executor.
-SHIPPED, BATCH_BYTES, SHIPPED_IDS = 1 << 20, 32 << 20, 1 << 20
+#: Entries of a model that go to every worker (40 bytes each); words scored per reading of a larger one; ids that a join ships to every executor.
+SHIPPED, GROUP_WORDS, SHIPPED_IDS = 1 << 16, 1 << 20, 1 << 20
 LETTERS = re.compile(r"[^\W\d_]+")
 SHINGLE, DRAWINGS = 5, 3
 #: Pairs counted in a task before the counts go on; words whose hashes a worker keeps; words scored at once.
-FLUSH_PAIRS, CACHE_WORDS, CHUNK_WORDS = 2_000_000, 500_000, 200_000
+FLUSH_PAIRS, CACHE_WORDS, CHUNK_WORDS = 2_000_000, 100_000, 200_000
 START = np.uint64(0)
 
 
@@ -100,18 +101,17 @@ def pair_counts(texts: DataFrame) -> DataFrame:
     """(v, w, n0, n1) of ``texts`` (label, text): documents of each label that hold the pair. Summed per task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        # one piece of memory for all pairs held: many small arrays stay with the worker when they are freed
+        held, toxic = np.empty((2, FLUSH_PAIRS), np.uint64), np.empty(FLUSH_PAIRS, bool)
         size = 0
 
         def flush() -> pa.RecordBatch:
-            v, w, c = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((w, v))
-            v, w, c = v[order], w[order], c[order]
+            order = np.lexsort((held[1, :size], held[0, :size]))
+            v, w = held[0, order], held[1, order]
             first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
-            toxic = np.add.reduceat(c, first)
+            n1 = np.add.reduceat(toxic[order], first, dtype=np.int64)
             n = np.diff(np.r_[first, len(v)])
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(v[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n - toxic), pa.array(toxic)], ["v", "w", "n0", "n1"])
+            return pa.RecordBatch.from_arrays([pa.array(v[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n - n1), pa.array(n1)], ["v", "w", "n0", "n1"])
 
         for batch in batches:
             for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
@@ -120,12 +120,14 @@ def pair_counts(texts: DataFrame) -> DataFrame:
                     continue
                 left = np.r_[START, h[:-1]]
                 _, at = np.unique(pair_key(left, h), return_index=True)
-                held.append((left[at], h[at], np.full(len(at), label, np.int64)))
-                size += len(at)
-                if size >= FLUSH_PAIRS:
-                    yield flush()
-                    size = 0
-        if held:
+                for some in np.array_split(at, len(at) // FLUSH_PAIRS + 1):
+                    if size + len(some) > FLUSH_PAIRS:
+                        yield flush()
+                        size = 0
+                    here = slice(size, size + len(some))
+                    held[0, here], held[1, here], toxic[here] = left[some], h[some], bool(label)
+                    size += len(some)
+        if size:
             yield flush()
 
     raw = texts.select("label", "text").mapInArrow(run, "v long, w long, n0 long, n1 long")
@@ -170,7 +172,10 @@ def entries(pairs: DataFrame) -> tuple[DataFrame, float]:
     key = F.pandas_udf(lambda v, w: _as_long(v, w), "long")
     top = pairs.where(kept_pairs).join(after.select("v", "t0", "t1"), "v").select(key("v", "w").alias("key"), *[(less(c) / F.col(f"t{c}")).alias(f"a{c}") for c in (0, 1)], F.lit(None).cast("double").alias("l0"), F.lit(None).cast("double").alias("l1"))
     ratio = handed["c1"] / handed["c0"]
-    return materialize(both.withColumnRenamed("w", "key").unionByName(top), "toxic-model"), ratio
+    model = materialize(both.withColumnRenamed("w", "key").unionByName(top), "toxic-entries")
+    ordered = materialize(model.repartitionByRange(n_partitions(pairs.sparkSession), "key").sortWithinPartitions("key"), "toxic-model")
+    discard(by_word, after, model)
+    return ordered, ratio
 
 
 def _as_long(v, w):
@@ -225,6 +230,29 @@ def columns_of(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray
     return batch.column("key").to_numpy().view(np.uint64), values
 
 
+def entries_for(hashed: list[np.ndarray], files: list[str], unseen: float) -> Model:
+    """The entries that the texts need, of a model in Parquet files that are sorted by key; a batch of rows at a time is held besides."""
+    word = np.concatenate([np.zeros(0, np.uint64), *hashed])
+    left = np.concatenate([np.zeros(0, np.uint64), *(np.r_[START, h[:-1]] for h in hashed if len(h))])
+    need = np.unique(np.concatenate([word, pair_key(left, word), [START]]).view(np.int64))
+    del word, left
+    keys, values = [np.zeros(0, np.uint64)], [np.zeros((0, 4))]
+    for file in files:
+        fs, path = filesystem(file)
+        with fs.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(columns=["key", "a0", "a1", "l0", "l1"]):
+                key = batch.column("key").to_numpy()
+                if not len(key):
+                    continue
+                some = need[np.searchsorted(need, key[0]) : np.searchsorted(need, key[-1], "right")]
+                if len(some):
+                    at = np.searchsorted(key, some)
+                    k, v = columns_of(batch.take(pa.array(at[key[at] == some])))
+                    keys.append(k)
+                    values.append(v)
+    return Model(np.concatenate(keys), np.concatenate(values), unseen)
+
+
 def with_evidence(docs: DataFrame, name: str, model: DataFrame, unseen: float, shipped: int = SHIPPED) -> DataFrame:
     """``docs`` (with a column text) and their evidence."""
     spark = docs.sparkSession
@@ -235,28 +263,22 @@ def with_evidence(docs: DataFrame, name: str, model: DataFrame, unseen: float, s
             return pd.Series(sent.value.evidence([hashes_of(t) for t in texts]))
 
         return docs.withColumn(name, F.pandas_udf(run, "double")(F.col("text")))
-    # documents are dealt to batches that share a row id, and a batch asks for a word or pair once
-    rows = materialize(docs.withColumn("__row", F.expr("uuid()")), "toxic-dealt")
-    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
-    dealt = rows.select("__row", "text", F.pmod(F.xxhash64("__row"), F.lit(size // BATCH_BYTES + 1)).alias("batch"))
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b, text in zip(batch.column("batch").to_pylist(), batch.column("text").to_pylist()):
-                h = hashes_of(text)
-                left = np.r_[START, h[:-1]] if len(h) else h
-                found = np.unique(np.concatenate([h, left, pair_key(left, h)]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), b)), pa.array(found.view(np.int64))], ["batch", "key"])
-
-    wanted = dealt.mapInArrow(keys, "batch long, key long").distinct().join(model, "key")
+    files = sorted(model.inputFiles())
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = Model(*columns_of(right), unseen)
-        value = own.evidence([hashes_of(t) for t in left.column("text").to_pylist()])
-        return pa.table([left.column("__row").combine_chunks(), pa.array(value, pa.float64())], ["__row", name])
+    def run_grouped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held: list[np.ndarray] = []
+        size = 0
+        for texts in batches:
+            for t in texts:
+                held.append(hashes_of(t))
+                size += len(held[-1])
+                if size >= GROUP_WORDS:
+                    yield pd.Series(entries_for(held, files, unseen).evidence(held))
+                    held, size = [], 0
+        if held:
+            yield pd.Series(entries_for(held, files, unseen).evidence(held))
 
-    found = dealt.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(meet, f"__row string, `{name}` double")
-    return rows.join(found, "__row").drop("__row")
+    return docs.withColumn(name, F.pandas_udf(run_grouped, "double")(F.col("text")))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> tuple[float, float]:
@@ -304,16 +326,20 @@ def learned(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, ship
     rows = training(docs, labels)
     kinds = [r[0] for r in rows.select("label").distinct().collect()]
     if len(kinds) < 2:
+        discard(rows)
         return None, 1.0, 0.0, float(next(iter(kinds), 0))
     count_rows = rows.where("not curve")
     kept = materialize(one_of_each_family(count_rows.drop("text", "curve")).select("doc_id", "label"), "toxic-kept")
     pairs = materialize(pair_counts(joined(count_rows, kept, ["doc_id", "label"], "left_semi")), "toxic-pairs")
     model, unseen = entries(pairs)
+    discard(pairs, kept)
     drawn, share = sample_by_class(rows.where("curve").select("doc_id", "label").distinct(), "label", per_class)
     if len(share) < 2:  # too few rows for a curve
+        discard(rows)
         return model, unseen, 1000.0, -3.0
     sample = rows.where("curve").select("doc_id", "label", "text").join(F.broadcast(drawn), ["doc_id", "label"], "left_semi")
     seen = with_evidence(sample, "x", model, unseen, shipped).select("doc_id", "label", "x").toPandas().sort_values(["doc_id", "label", "x"], ignore_index=True)
+    discard(rows)
     weight = seen["label"].map({k: 1 / s for k, s in share.items()}).to_numpy(float)
     slope, constant = fit_curve(seen["x"].to_numpy(float), seen["label"].to_numpy(float), weight * len(weight) / weight.sum())
     return model, unseen, slope, constant

@@ -147,3 +147,33 @@ def test_held_out_labels_of_the_table(spark, folder, recall, precision):
     caught = sum(got[d].predicted for d in held if labels[d])
     assert caught >= recall * sum(labels[d] for d in held)
     assert caught >= precision * sum(got[d].predicted for d in held)
+
+
+def test_a_large_model_is_read_and_no_document_shuffled(spark, monkeypatch):
+    """Beyond the size that is shipped, scores agree and the plan over the documents moves none of them."""
+    monkeypatch.setattr(tox, "GROUP_WORDS", 500)
+    docs, labels = corpus(300, 7)
+    df = spark.createDataFrame([*docs, (900, None), (901, "aei " * 2_000)], "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    df = tox.materialize(df, "t")
+    a, b = (tox.with_score(df, lab, shipped=n) for n in (1 << 20, 0))
+    assert {r.doc_id: r.score for r in b.collect()} == pytest.approx({r.doc_id: r.score for r in a.collect()})
+    assert "Exchange" not in b._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_in_bounded_pieces(spark, monkeypatch):
+    docs, labels = corpus(40, 3)
+    rows = spark.createDataFrame([(lab, t) for (_, t), (_, lab) in zip(docs, labels)], "label int, text string").coalesce(1)
+    whole = {r[:2]: r[2:] for r in map(tuple, tox.pair_counts(rows).collect())}
+    monkeypatch.setattr(tox, "FLUSH_PAIRS", 30)
+    assert {r[:2]: r[2:] for r in map(tuple, tox.pair_counts(rows).collect())} == whole and len(whole) > 1000
+
+
+def test_only_the_model_stays_in_the_scratch_folder(spark):
+    from stipple import scratch
+
+    docs, labels = corpus(200)
+    before = len(scratch._made)
+    tox.learned(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in scratch._made[before:]}
+    assert left == {"toxic-labels", "toxic-model"}
