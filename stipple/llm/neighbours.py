@@ -4,8 +4,9 @@ The tree is fitted on a bounded sample of ``fit_rows`` vectors; every row goes t
 priority queue of nodes, best inner product with the node's centre first, and so gets leaves in order of promise. How
 many it visits is calibrated: exact neighbours of a bounded number of queries are found by brute force over all rows,
 and the visits are widened until the share of them in visited leaves reaches ``recall``. A query goes on beyond that while
-the leaves it has visited hold too few rows. Leaves are split into blocks of bounded size, and queries meet each block
-of their leaves, so neither a crowded leaf nor a vector with many copies needs one large task.
+the leaves it has visited hold too few rows. The rows are written in the order of their leaves to the shared folder, and a task reads
+them for a bounded number of queries from near leaves, a bounded piece at a time, and passes over what none of those visits. So neither queries
+nor found pairs are shuffled, and neither a crowded leaf nor a vector with many copies needs one large task.
 
 Scores are inner products in double precision of the vectors as stored. Products of matrices only bound the candidates; their
 scores are then summed in one order for all rows, so equal vectors have equal scores and ties go to the smaller vec_id.
@@ -23,17 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import filesystem, materialize, n_partitions, table
 from .sampling import drawn_by_hash
 
 K, EVERY = 20, 20
 #: Rows that the tree is fitted on, queries that calibrate it (both at most, in expectation), recall to reach on those.
 FIT_ROWS, CALIBRATE, RECALL = 20_000, 100, 0.97
-BRANCH, LEAF_ROWS, BLOCK_ROWS = 16, 256, 4096
+BRANCH, LEAF_ROWS, BLOCK_ROWS = 16, 256, 1024
 QUERY_CHUNK = 512
+#: Queries that a task answers at once; (query, leaf) marks that it holds; pairs whose scores it sums at once; bytes of the index in a piece.
+ANSWERED, MARKS, PAIRS_AT_ONCE, PIECE_BYTES = 2048, 1 << 24, 1 << 16, 4 << 20
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -139,6 +143,47 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.n
             yield at + i, ids[some][order], score[order]
 
 
+class Best:
+    """The k best rows so far of each of some queries (ascending, distinct ids), by the exact score, ties by id."""
+
+    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, k: int):
+        self.queries, self.query_ids, self.k = queries, query_ids, k
+        self.ids, self.scores = np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k))
+        self.n = np.zeros(len(queries), np.int64)
+        self.norms = np.sqrt((queries**2).sum(1))
+
+    def meet(self, some: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
+        """Offers rows to the queries at the places ``some``. Products of matrices only pass over rows, by far more than their error."""
+        rough = self.queries[some] @ x.T
+        allowed = np.ones(rough.shape, bool)
+        place = np.minimum(np.searchsorted(self.query_ids[some], ids), len(some) - 1)
+        own = np.flatnonzero(self.query_ids[some][place] == ids)
+        allowed[place[own], own] = False
+        edge = np.where(self.n[some] == self.k, self.scores[some, -1], -np.inf)
+        if len(ids) - len(own) > self.k and (fresh := np.flatnonzero(edge == -np.inf)).size:
+            least = np.where(allowed[fresh], rough[fresh], -np.inf)
+            edge[fresh] = np.partition(least, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+        slack = 1e-9 * (np.abs(edge, where=np.isfinite(edge), out=np.zeros_like(edge)) + self.norms[some] * np.sqrt((x**2).sum(1).max()))
+        q, r = np.nonzero(allowed & (rough >= (edge - slack)[:, None]))
+        for at in range(0, len(q), PAIRS_AT_ONCE):
+            i, j = some[q[at : at + PAIRS_AT_ONCE]], r[at : at + PAIRS_AT_ONCE]
+            self._add(i, ids[j], (x[j] * self.queries[i]).sum(1))
+
+    def _add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        touched = np.unique(query)
+        held = np.arange(self.k) < self.n[touched, None]
+        query = np.r_[np.repeat(touched, self.n[touched]), query]
+        ids, scores = np.r_[self.ids[touched][held], ids], np.r_[self.scores[touched][held], scores]
+        order = np.lexsort((ids, -scores, query))
+        query, ids, scores = query[order], ids[order], scores[order]
+        first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+        n = np.diff(np.r_[first, len(query)])
+        rank = np.arange(len(query)) - np.repeat(first, n)
+        kept = rank < self.k
+        self.ids[query[kept], rank[kept]], self.scores[query[kept], rank[kept]] = ids[kept], scores[kept]
+        self.n[touched] = np.minimum(n, self.k)
+
+
 PAIRS = "query_id long, ids array<long>, scores array<double>"
 
 
@@ -218,48 +263,83 @@ def search(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL, fit
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], ["vec_id", "v", "leaf"])
 
     kind = rows.schema["v"].dataType.simpleString()
-    index = materialize(rows.mapInArrow(place, f"vec_id long, v {kind}, leaf long"), "vector-index")
-    asking = index.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    ids, queries = drawn(asking, CALIBRATE, "calibrate")
+    placed = rows.mapInArrow(place, f"vec_id long, v {kind}, leaf long")
+    n = n_partitions(spark)
+    index = materialize(placed.repartitionByRange(n, "leaf", "vec_id").sortWithinPartitions("leaf"), "vector-index", **{"parquet.block.size": PIECE_BYTES})
+    asking = index.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "leaf")).alias("r")).select("vec_id", "r.v", "r.leaf")
+    ids, queries = drawn(asking.select("vec_id", "v"), CALIBRATE, "calibrate")
     visits = calibrated_visits(tree.value, index, queries, ids, k, recall) if len(ids) else tree.value.n_leaves
     # one number per leaf, and the fit bounds the leaves
     size = np.zeros(tree.value.n_leaves, np.int64)
     for r in index.groupBy("leaf").count().collect():
         size[r["leaf"]] = r["count"]
-    n_blocks = np.maximum(1, -(-size // BLOCK_ROWS))
-    sizes = spark.sparkContext.broadcast((size, n_blocks))
+    sizes = spark.sparkContext.broadcast(size)
+    files = sorted(index.inputFiles())
+
+    def visited(queries: np.ndarray) -> np.ndarray:
+        """(query, leaf): whether the query visits the leaf."""
+        size, out = sizes.value, np.zeros((len(queries), len(sizes.value)), bool)
+        for i, query in enumerate(queries):
+            seen = 0
+            for n, leaf in enumerate(tree.value.leaves(query)):
+                if n >= visits and seen > k:
+                    break
+                seen += size[leaf]
+                out[i, leaf] = True
+        return out
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, n_blocks = sizes.value
+    def answer(query_ids: np.ndarray, queries: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(query_ids)
+        best = Best(queries[order], query_ids[order], k)
+        marks = visited(best.queries)
+        wanted = np.flatnonzero(marks.any(0))
+        for leaf, x, ids in pieces(files, wanted):
+            some = np.flatnonzero(marks[:, leaf])
+            best.meet(some, x, ids)
+        n = best.n
+        rank = np.concatenate([np.zeros(0, np.int64), *(np.arange(1, m + 1) for m in n)]).astype(np.int32)
+        held = np.arange(k) < n[:, None]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(best.query_ids, n)), pa.array(rank), pa.array(best.ids[held]), pa.array(best.scores[held])], ["query_id", "rank", "vec_id", "score"])
+
+    def search_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_once = max(1, min(ANSWERED, MARKS // len(sizes.value)))
+        held, size = [], 0
         for batch in batches:
-            x = matrix(batch.column("v"))
-            who, leaf_of, block_of = [], [], []
-            for i in range(len(x)):
-                seen = 0
-                for n, leaf in enumerate(tree.value.leaves(x[i])):
-                    if n >= visits and seen > k:
-                        break
-                    seen += size[leaf]
-                    for b in range(n_blocks[leaf] if size[leaf] else 0):
-                        who.append(i)
-                        leaf_of.append(leaf)
-                        block_of.append(b)
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(who, pa.int64())) for c in (batch.column("vec_id"), batch.column("v"))), pa.array(leaf_of, pa.int64()), pa.array(block_of, pa.int64())], ["vec_id", "v", "leaf", "block"])
-
-    places = f"vec_id long, v {kind}, leaf long, block long"
-    blocks_of = F.element_at(F.lit([int(x) for x in n_blocks]), (F.col("leaf") + 1).cast("int"))
-    blocked = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks_of.cast("long")))
-    routed = asking.mapInArrow(route, places)
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.Table.from_batches([], schema=pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))]))
-        q_ids = left.column("vec_id").to_numpy()
-        got = best_of(matrix(left.column("v")), q_ids, matrix(right.column("v")), right.column("vec_id").to_numpy(), k)
-        return pa.Table.from_batches([found_batch([(int(q_ids[i]), a, b) for i, a, b in got])])
-
-    parts = routed.groupBy("leaf", "block").cogroup(blocked.groupBy("leaf", "block")).applyInArrow(meet, PAIRS)
-    return ranked(merged(parts, k))
+            for at in range(0, batch.num_rows, at_once):
+                held.append(batch.slice(at, at_once))
+                size += held[-1].num_rows
+                while size >= at_once:
+                    whole = pa.Table.from_batches(held)
+                    yield answer(whole.column("vec_id")[:at_once].to_numpy(), matrix(whole.column("v")[:at_once]))
+                    held, size = whole[at_once:].to_batches(), size - at_once
+        if size:
+            whole = pa.Table.from_batches(held)
+            yield answer(whole.column("vec_id").to_numpy(), matrix(whole.column("v")))
+
+    near = asking.repartitionByRange(n, "leaf", "vec_id").sortWithinPartitions("leaf").select("vec_id", "v")
+    return near.mapInArrow(search_for, "query_id long, rank int, vec_id long, score double")
+
+
+def pieces(files: list[str], wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(leaf, vectors, vec_ids) of the wanted leaves (ascending), at most BLOCK_ROWS rows at a time, of files that are sorted by leaf."""
+    for file in files:
+        fs, path = filesystem(file)
+        with fs.open_input_file(path) as f:
+            index = pq.ParquetFile(f)
+            for group in range(index.num_row_groups):
+                meta = index.metadata.row_group(group)
+                bounds = meta.column(meta.num_columns - 1).statistics  # of leaf, the last column
+                if bounds is not None and bounds.has_min_max and np.searchsorted(wanted, bounds.min) == np.searchsorted(wanted, bounds.max, "right"):
+                    continue
+                for batch in index.iter_batches(batch_size=4 * BLOCK_ROWS, row_groups=[group]):
+                    leaf, ids, x = batch.column("leaf").to_numpy(), batch.column("vec_id").to_numpy(), None
+                    cuts = np.r_[0, np.flatnonzero(leaf[1:] != leaf[:-1]) + 1, len(leaf)]
+                    for a, b in zip(cuts, cuts[1:]):
+                        if a < b and wanted[min(np.searchsorted(wanted, leaf[a]), len(wanted) - 1)] == leaf[a]:
+                            x = matrix(batch.column("v")) if x is None else x
+                            for at in range(a, b, BLOCK_ROWS):
+                                end = min(b, at + BLOCK_ROWS)
+                                yield int(leaf[a]), x[at:end], ids[at:end]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,22 @@ def test_tree_order_is_complete():
     order = list(tree.leaves(x[0]))
     assert sorted(order) == list(range(tree.n_leaves)) and tree.n_leaves > 50
     assert np.bincount(tree.leaf_of(x), minlength=tree.n_leaves).sum() == 3000
+
+
+def test_queries_are_answered_in_bounded_pieces(spark, monkeypatch):
+    """Each query of a batch visits every leaf: no task lists its visits with the vectors, and pieces change nothing."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).round(1).tolist()) for i in range(700)] + [(700 + i, [1.0, 2.0, -1.0, 0.5]) for i in range(300)] + [(40, [9.0, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for name, value in (("LEAF_ROWS", 16), ("BLOCK_ROWS", 9), ("ANSWERED", 7), ("PAIRS_AT_ONCE", 11)):
+        monkeypatch.setattr(nn, name, value)
+    out = nn.search(df, F.col("vec_id") % 10 == 0, recall=1.0)
+    got = found(out)
+    want = {}
+    for q in {i for i, _ in rows if i % 10 == 0}:
+        v = np.array(min(v for i, v in rows if i == q))
+        s = sorted((-float((np.array(x) * v).sum()), i) for i, x in rows if i != q)[: nn.K]
+        want[q] = [i for _, i in s]
+    assert {q: [i for i, _ in r] for q, r in got.items()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "block" not in plan
