@@ -143,3 +143,27 @@ def test_sketch_links_pairs_of_one_fingerprint(spark):
     words = [f"w{i}" for i in range(200)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(reversed(words))), (3, " ".join(words[:-1] + ["w199x"]))], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.near_copies(df).collect()) == [1, 2]
+
+
+def test_views_are_dealt_a_few_at_a_time(spark, monkeypatch):
+    """One shuffle holds few views of a class and goes before the next; the copies that stay do not depend on their number."""
+    import random
+
+    rng = random.Random(21)
+    docs = []
+    for d in range(30):
+        words = [f"w{rng.randrange(300)}" for _ in range(60)]
+        docs += [(3 * d, " ".join(words)), (3 * d + 1, " ".join([*words, "end"])), (3 * d + 2, " ".join(words).upper())]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    seen, dealt = [], simhash.dealt_to_tables
+
+    def counted(rows, *more):
+        if "view" in rows.columns:
+            seen.append({r.view for r in rows.select("view").distinct().collect()})
+        return dealt(rows, *more)
+
+    monkeypatch.setattr(simhash, "dealt_to_tables", counted)
+    stay = {r.doc_id for r in simhash.near_copies(df).collect()}
+    assert max(map(len, seen)) <= simhash.VIEWS // 4 and sorted(v for s in seen for v in s) == list(range(simhash.VIEWS))
+    monkeypatch.setattr(simhash, "VIEWS_AT_ONCE", simhash.VIEWS)
+    assert {r.doc_id for r in simhash.near_copies(df).collect()} == stay and not any(d % 3 for d in stay)
