@@ -340,12 +340,13 @@ def write_csv(summary: DataFrame, path: str | None) -> DataFrame:
     return summary
 
 
-def quantify_objects_by_region(objects: PointCloudDataset, annotation: DataFrame, annotation_space: SpaceDefinition, *, hemisphere: DataFrame | None = None, hemisphere_space: SpaceDefinition | None = None, ontology: DataFrame | None = None, id_map: DataFrame | None = None, include_background: bool = False, include_out_of_bounds: bool = True, background_id: int = BACKGROUND_ID, out_of_bounds_id: int = OUT_OF_BOUNDS_ID, output_csv: str | None = None) -> RegionQuantificationResult:
-    """Remap, look up regions (and sides), summarise, name, and write if asked to."""
+def quantify_objects_by_region(objects: PointCloudDataset, annotation: DataFrame, annotation_space: SpaceDefinition, *, hemisphere: DataFrame | None = None, hemisphere_space: SpaceDefinition | None = None, ontology: DataFrame | None = None, id_map: DataFrame | None = None, include_background: bool = False, include_out_of_bounds: bool = True, background_id: int = BACKGROUND_ID, out_of_bounds_id: int = OUT_OF_BOUNDS_ID, output_csv: str | None = None, validate: bool = True) -> RegionQuantificationResult:
+    """Remap, look up regions (and sides), summarise, name, and write if asked to. Objects outside the grid raise; without
+    ``validate`` they are out of bounds."""
     if objects.metadata.representation.representation_type not in ("cleaned_objects", "point_centroids"):
         raise ValueError("region quantification takes cleaned_objects or point_centroids")
     check_csv(output_csv)
-    moved = remap_pointcloud_dataset_to_space(objects, annotation_space)
+    moved = remap_pointcloud_dataset_to_space(objects, annotation_space, validate=validate)
     assigned = assign_objects_to_regions(moved.points, annotation_space, annotation, annotation_space=annotation_space, background_id=background_id, out_of_bounds_id=out_of_bounds_id)
     options = dict(volume_space=annotation_space, area_measurement_space=objects.space, background_id=background_id, out_of_bounds_id=out_of_bounds_id, include_background=include_background, include_out_of_bounds=include_out_of_bounds)
     if hemisphere is not None:
