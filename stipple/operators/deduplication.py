@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coordinates import half_up, preferred_xy
@@ -63,7 +63,10 @@ def build_object_membership_table(points: DataFrame, edges: DataFrame, *, max_n_
 
 
 def aggregate_cleaned_objects(points: DataFrame, membership: DataFrame, *, validate: bool = True) -> DataFrame:
-    """One row per object: mean position (and half-up integers), spread over planes, and means of what shape columns there are."""
+    """One row per object: mean position (and half-up integers), spread over planes, and means of what shape columns there are.
+
+    Means add up an object's detections by their ids, so a mean near a half rounds the same way however rows are dealt out.
+    """
     if validate:
         if membership.groupBy("detection_id").count().where("count > 1").limit(1).count():
             raise ValueError("a detection belongs to several objects")
@@ -71,13 +74,23 @@ def aggregate_cleaned_objects(points: DataFrame, membership: DataFrame, *, valid
             raise ValueError(f"membership names unknown detections: {missing}")
     x, y = preferred_xy(points)
     z = F.col("z").cast("double")
+    # running means: those of the last row are the object's
+    ordered = Window.partitionBy("object_id").orderBy("detection_id")
+    running: dict[str, Column] = {}
+
+    def mean(value: Column) -> Column:
+        name = f"__mean{len(running)}"
+        running[name] = F.avg(value.cast("double")).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return F.max_by(name, "__n")
+
     aggregates = [
-        F.avg(F.col(x).cast("double")).alias("x_float"), F.avg(F.col(y).cast("double")).alias("y_float"), F.avg(z).alias("z_float"),
+        mean(F.col(x)).alias("x_float"), mean(F.col(y)).alias("y_float"), mean(z).alias("z_float"),
         F.count("*").alias("n_detections"), F.countDistinct("z").alias("n_planes"), F.min(F.col("z").cast("long")).alias("z_min"), F.max(F.col("z").cast("long")).alias("z_max"),
     ]
-    optional = [("area_px", "mean_area_px", F.avg), ("area_px", "max_area_px", F.max), ("major_axis_length_px", "mean_major_axis_length_px", F.avg), ("minor_axis_length_px", "mean_minor_axis_length_px", F.avg), ("eccentricity", "mean_eccentricity", F.avg)]
+    optional = [("area_px", "mean_area_px", mean), ("area_px", "max_area_px", F.max), ("major_axis_length_px", "mean_major_axis_length_px", mean), ("minor_axis_length_px", "mean_minor_axis_length_px", mean), ("eccentricity", "mean_eccentricity", mean)]
     aggregates += [f(F.col(c).cast("double")).alias(name) for c, name, f in optional if c in points.columns]
-    objects = membership.join(points, "detection_id").groupBy("object_id").agg(*aggregates)
+    rows = membership.join(points, "detection_id").withColumns({"__n": F.row_number().over(ordered)} | running)
+    objects = rows.groupBy("object_id").agg(*aggregates)
     rounded = [half_up(F.col(f"{a}_float")).alias(a) for a in ("x", "y", "z")]
     return objects.select("object_id", *rounded, *[c for c in objects.columns if c != "object_id"])
 
