@@ -1,7 +1,7 @@
 """Distance joins as equi-joins on grid cells.
 
-Points are binned on physical coordinates in cells of one radius; the left side meets the nine cells around its own,
-so each pair of points meets once and the join is a hash or sort-merge join on (plane, cell) that adaptive execution can split.
+Points are binned on physical coordinates in cells of two radii; the left side meets the cells that its radius reaches, four
+as a rule, so each pair of points meets once and the join is a sort-merge join on (plane, cell) that adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -20,7 +20,13 @@ def check_radius(radius_um: float) -> float:
 
 def cell(coordinate_um: Column, radius_um: float) -> Column:
     """Bin of a coordinate. A radius of 0 needs equal coordinates, for which any cell size serves."""
-    return F.floor(coordinate_um / F.lit(radius_um if radius_um > 0 else 1.0)).cast("long")
+    return F.floor(coordinate_um / F.lit(2 * radius_um if radius_um > 0 else 1.0)).cast("long")
+
+
+def reached(coordinate_um: Column, radius_um: float) -> Column:
+    """The bins within the radius, and a rounding error more, of a coordinate."""
+    reach = F.lit(radius_um * (1 + 1e-9))
+    return F.explode(F.sequence(cell(coordinate_um - reach, radius_um), cell(coordinate_um + reach, radius_um)))
 
 
 def usable(df: DataFrame, columns) -> DataFrame:
@@ -37,11 +43,10 @@ def distance_join(left: DataFrame, right: DataFrame, keys: list[str], radius_um:
     dy_um (right minus left) and xy_distance_um.
     """
     radius_um = check_radius(radius_um)
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = usable(left, ("px", "py")).withColumn("__o", F.explode(around))
-    a = a.select("*", (cell(F.col("px"), radius_um) + F.col("__o.i")).alias("__cx"), (cell(F.col("py"), radius_um) + F.col("__o.j")).alias("__cy")).drop("__o").withColumnsRenamed({"px": "__ax", "py": "__ay"})
+    a = usable(left, ("px", "py")).withColumn("__cx", reached(F.col("px"), radius_um)).withColumn("__cy", reached(F.col("py"), radius_um)).withColumnsRenamed({"px": "__ax", "py": "__ay"})
     b = usable(right, ("px", "py")).select("*", cell(F.col("px"), radius_um).alias("__cx"), cell(F.col("py"), radius_um).alias("__cy")).withColumnsRenamed({"px": "__bx", "py": "__by"})
-    pairs = a.join(b, [*keys, "__cx", "__cy"])
+    # never by broadcast: Spark takes a side's size from its compressed file, and the driver would have to hold all of it
+    pairs = a.join(b.hint("merge"), [*keys, "__cx", "__cy"])
     dx, dy = F.col("__bx") - F.col("__ax"), F.col("__by") - F.col("__ay")
     return (
         pairs.withColumns({"dx_um": dx, "dy_um": dy, "xy_distance_um": F.hypot(dx, dy)})
