@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.coordinates import half_up, preferred_xy
 from ..functions.ids import with_dense_ids
 from ..model import POINT_COLUMNS, SpaceDefinition, require_columns
+from ..scratch import materialize
 from .distance import check_radius, distance_join
 from .graph import constrained_merge
 
-EDGE_ORDER = ["xy_distance_um", "plane_offset", "source_detection_id", "target_detection_id"]
+EDGE_ORDER = ["xy_distance_um", "plane_offset", "source", "target"]
 EDGE_COLUMNS = ["source_detection_id", "target_detection_id", "source_z", "target_z", "plane_offset", "dx_um", "dy_um", "xy_distance_um", "dz_um"]
 
 
@@ -39,22 +40,26 @@ def build_cross_plane_edge_table(points: DataFrame, space: SpaceDefinition, *, m
     x, y = preferred_xy(points)
     rx, ry, rz = (space.resolution(a) for a in ("x", "y", "z"))
     base = points.select("detection_id", F.col("z").cast("long").alias("z"), (F.col(x).cast("double") * rx).alias("px"), (F.col(y).cast("double") * ry).alias("py"))
-    sources = base.select(F.col("detection_id").alias("source_detection_id"), F.col("z").alias("source_z"), "px", "py", F.explode(F.sequence(F.lit(1), F.lit(max_plane_offset))).alias("plane_offset"))
-    sources = sources.withColumn("target_z", F.col("source_z") + F.col("plane_offset"))
+    sources = base.select(F.col("detection_id").alias("source_detection_id"), "z", "px", "py", F.explode(F.sequence(F.lit(1), F.lit(max_plane_offset))).alias("plane_offset"))
+    sources = sources.withColumn("target_z", F.col("z") + F.col("plane_offset")).drop("z")
     targets = base.select(F.col("detection_id").alias("target_detection_id"), F.col("z").alias("target_z"), "px", "py")
     pairs = distance_join(sources, targets, ["target_z"], max_xy_distance_um)
-    return pairs.withColumn("plane_offset", F.col("plane_offset").cast("long")).withColumn("dz_um", F.col("plane_offset") * F.lit(rz)).select(*EDGE_COLUMNS)
+    return pairs.withColumn("plane_offset", F.col("plane_offset").cast("long")).withColumn("source_z", F.col("target_z") - F.col("plane_offset")).withColumn("dz_um", F.col("plane_offset") * F.lit(rz)).select(*EDGE_COLUMNS)
 
 
-def build_object_membership_table(points: DataFrame, edges: DataFrame, *, max_n_planes: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(object_id, detection_id), objects numbered from 1 by their smallest detection; and the accepted edges."""
+def build_object_membership_table(points: DataFrame, edges: DataFrame, *, max_n_planes: int | None = None, validate: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(object_id, detection_id), objects numbered from 1 by their smallest detection; and the accepted edges.
+
+    Without ``validate`` the edges are taken to be of these points, and their planes those of the points.
+    """
     if max_n_planes is not None and max_n_planes < 1:
         raise ValueError("max_n_planes must be at least 1")
-    ids = points.select(F.col("detection_id").alias("source"))
-    ends = edges.select(F.explode(F.array("source_detection_id", "target_detection_id")).alias("source"))
-    if unknown := [r[0] for r in ends.join(ids, "source", "left_anti").limit(10).collect()]:
-        raise ValueError(f"edges name unknown detections: {unknown}")
-    named = edges.withColumn("source", F.col("source_detection_id")).withColumn("target", F.col("target_detection_id"))
+    named = edges.select(F.col("source_detection_id").alias("source"), F.col("target_detection_id").alias("target"), "xy_distance_um", "plane_offset", *([] if validate else [F.col("source_z").alias("source_plane"), F.col("target_z").alias("target_plane")]))
+    if validate:
+        ids = points.select(F.col("detection_id").alias("source"))
+        ends = edges.select(F.explode(F.array("source_detection_id", "target_detection_id")).alias("source"))
+        if unknown := [r[0] for r in ends.join(ids, "source", "left_anti").limit(10).collect()]:
+            raise ValueError(f"edges name unknown detections: {unknown}")
     merged, accepted = constrained_merge(points.select(F.col("detection_id").alias("id"), F.col("z").cast("long").alias("plane")), named, EDGE_ORDER, max_n_planes)
     roots = with_dense_ids(merged.where("id = root").select("root"), ["root"], "object_id")
     membership = merged.join(roots, "root").select("object_id", F.col("id").alias("detection_id"))
@@ -98,10 +103,12 @@ def aggregate_cleaned_objects(points: DataFrame, membership: DataFrame, *, valid
 def deduplicate_across_planes(points: DataFrame, space: SpaceDefinition, *, max_plane_offset: int, max_xy_distance_um: float, max_n_planes: int | None = None) -> DeduplicationResult:
     """Edges, members and objects; raises if an object has two detections in one plane."""
     _check(max_plane_offset, max_xy_distance_um, max_n_planes)
-    edges = build_cross_plane_edge_table(points, space, max_plane_offset=max_plane_offset, max_xy_distance_um=max_xy_distance_um)
-    membership, accepted = build_object_membership_table(points, edges, max_n_planes=max_n_planes)
+    edges = materialize(build_cross_plane_edge_table(points, space, max_plane_offset=max_plane_offset, max_xy_distance_um=max_xy_distance_um), "edges")
+    membership, accepted = build_object_membership_table(points, edges, max_n_planes=max_n_planes, validate=False)
+    membership = materialize(membership, "membership")
     objects = aggregate_cleaned_objects(points, membership, validate=False)
-    if objects.where("n_detections <> n_planes").limit(1).count():
+    planes = membership.join(points.select("detection_id", "z"), "detection_id").groupBy("object_id", "z").count()
+    if planes.where("count > 1").limit(1).count():
         raise RuntimeError("an object has several detections in one plane")
     return DeduplicationResult(accepted, membership, objects)
 
